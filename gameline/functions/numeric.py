@@ -39,9 +39,9 @@ def game_score(pts="pts", fg="fg", fga="fga", ft="ft", fta="fta", orb="orb", drb
                ast="ast", blk="blk", pf="pf", tov="tov", rounded: bool = True) -> Column:
     """Linear box-score rating; half-even rounding to one decimal unless switched off."""
     # fixed values: weight of each box-score statistic
-    weights = {pts: 1.0, fg: 0.4, fga: -0.7, fta: -0.4, ft: 0.4, orb: 0.7, drb: 0.3, stl: 1.0,
-               ast: 0.7, blk: 0.7, pf: -0.4, tov: -1.0}
+    weights = [(pts, 1.0), (fg, 0.4), (fga, -0.7), (fta, -0.4), (ft, 0.4), (orb, 0.7), (drb, 0.3), (stl, 1.0),
+               (ast, 0.7), (blk, 0.7), (pf, -0.4), (tov, -1.0)]
     total = F.lit(0.0)
-    for name, weight in weights.items():
+    for name, weight in weights:
         total = total + F.col(name) * F.lit(weight)
     return F.bround(total, 1) if rounded else total

@@ -63,8 +63,7 @@ def pair_correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation over rows where both values are present."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
-    both = a.isNotNull() & b.isNotNull()
-    return F.corr(F.when(both, a.cast("double")), F.when(both, b.cast("double")))
+    return F.corr(a.cast("double"), b.cast("double"))
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
@@ -115,10 +114,7 @@ def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) ->
 
 
 def line_fit(df: DataFrame, x: str, y: str, train: Column) -> DataFrame:
-    """Least-squares line fitted where ``train`` holds, scored on the other rows, in one pass.
-
-    The test errors follow from moments, so the fit and its score need no second scan except for MAE.
-    """
+    """Least-squares line fitted where ``train`` holds, scored on the other rows."""
     part = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_train", train)
     fit = part.where("_train").agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
