@@ -189,17 +189,22 @@ MODELLING_TABLE = f"""WITH {GAMES} SELECT f.* EXCLUDE ({", ".join(f'"{c}"' for c
 FROM ({FEATURE_TABLE}) f JOIN games g ON f.seq = g.seq WHERE f.games_played >= 10"""
 
 
-def over_under_features(spark, sf):
-    """The 47 model features on rolling form, rest and a line equal to the ten-game mean."""
+def recent_state(spark, sf):
+    """Rolling form and rest of every game."""
     spec = rolling.RollingSpec(stats=["pts", "mp"], std_stats=["pts"], stds={10: 3}, load="mp")
     g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "pts", "mp"), spec)
-    g = schedule.attach_schedule(g, schedule.team_schedule(g))
-    g = dataset.enough_history(g, 5)
+    return schedule.attach_schedule(g, schedule.team_schedule(g))
+
+
+def over_under_features(spark, sf):
+    """The 47 model features against a line half a point above the ten-game mean."""
+    g = dataset.enough_history(recent_state(spark, sf), 5)
     out = overunder.over_under_features(g, "pts", F.col("pts_l10") + 0.5, F.col("pts"))
     return tidy(out.select("player", "seq", "went_over", *[F.col(c).cast("double") for c in overunder.OVER_UNDER_FEATURES]))
 
 
-def _over_under_sql() -> str:
+def over_under_select(source: str, median: str, lead: str) -> str:
+    """The feature expressions over rows with: line gaps a, b, c; variance v; ratio q; b2b, hm, dr, ml, gd."""
     zero = ["matchup_edge", "recent_matchup_edge", "has_matchup_history", "strong_matchup_history", "matchup_games",
             "strong_matchup_over", "strong_matchup_under", "favorable_vs_opp", "unfavorable_vs_opp",
             "good_matchup_x_hot", "bad_matchup_x_cold", "good_matchup_rested", "bad_matchup_tired",
@@ -215,21 +220,22 @@ def _over_under_sql() -> str:
         "high_usage": "(ml > 0.9)::INT", "games_density": "gd", "heavy_schedule": "(gd > 0.75)::INT",
         "compound_fatigue": "b2b * (gd > 0.75)::INT * (ml > 0.9)::INT", "trend_sq": "t * t", "variance_sq": "v * v",
         "edge_sq": "a * a", **{z: "0.0" for z in zero}}
-    f = {n: f"({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (5, 10, 20)}
-    return f"""WITH {GAMES}, {SCHEDULE},
-g AS (SELECT *, row_number() OVER ({_W}) - 1 AS games_played, avg(pts) OVER {f[5]} AS l5, avg(pts) OVER {f[10]} AS l10,
-  avg(pts) OVER {f[20]} AS l20, CASE WHEN count(pts) OVER {f[10]} >= 3 THEN stddev_samp(pts) OVER {f[10]} END AS sd,
-  avg(mp) OVER {f[10]} AS mp_l10, coalesce(lag(mp) OVER ({_W}) >= 36, false)::INT AS hm FROM games),
-x AS (SELECT player, seq, pts, l10 + 0.5 AS line, l10 - (l10 + 0.5) AS a, l5 - (l10 + 0.5) AS b, l20 - (l10 + 0.5) AS c,
-  coalesce(sd, 5) AS v, l5 / (l20 + 0.1::DOUBLE) AS q, coalesce(days_rest = 1, false)::INT AS b2b, hm,
-  greatest(0, least(5, coalesce(days_rest, 1))) AS dr, coalesce(mp_l10, 25) / 36 AS ml,
-  coalesce(games_last_7d, 2) / 4.0::DOUBLE AS gd FROM g JOIN sched USING (tm, game_date) WHERE games_played >= 5),
-y AS (SELECT *, b - c AS t, (SELECT median(v) FROM x) AS med FROM x)
-SELECT player, seq, CAST(pts > line AS BIGINT) AS went_over,
-  {", ".join(r(e[n], n) for n in overunder.OVER_UNDER_FEATURES)} FROM y"""
+    return f"""SELECT {lead}, {", ".join(r(e[n], n) for n in overunder.OVER_UNDER_FEATURES)}
+FROM (SELECT *, b - c AS t, {median} AS med FROM {source})"""
 
 
-OVER_UNDER = _over_under_sql()
+_F = {n: f"({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (5, 10, 20)}
+RECENT = f"""{GAMES}, {SCHEDULE},
+g AS (SELECT *, row_number() OVER ({_W}) - 1 AS games_played, avg(pts) OVER {_F[5]} AS l5, avg(pts) OVER {_F[10]} AS l10,
+  avg(pts) OVER {_F[20]} AS l20, CASE WHEN count(pts) OVER {_F[10]} >= 3 THEN stddev_samp(pts) OVER {_F[10]} END AS sd,
+  avg(mp) OVER {_F[10]} AS mp_l10, coalesce(lag(mp) OVER ({_W}) >= 36, false)::INT AS hm FROM games)"""
+STATE = """coalesce(sd, 5) AS v, l5 / (l20 + 0.1::DOUBLE) AS q, coalesce(days_rest = 1, false)::INT AS b2b, hm,
+  greatest(0, least(5, coalesce(days_rest, 1))) AS dr, coalesce(mp_l10, 25) / 36 AS ml,
+  coalesce(games_last_7d, 2) / 4.0::DOUBLE AS gd"""
+OVER_UNDER = f"""WITH {RECENT},
+x AS (SELECT player, seq, pts, l10 + 0.5 AS line, l10 - (l10 + 0.5) AS a, l5 - (l10 + 0.5) AS b, l20 - (l10 + 0.5) AS c,
+  {STATE} FROM g JOIN sched USING (tm, game_date) WHERE games_played >= 5)
+{over_under_select('x', '(SELECT median(v) FROM x)', 'player, seq, CAST(pts > line AS BIGINT) AS went_over')}"""
 
 
 def linear_sanity(spark, sf):
