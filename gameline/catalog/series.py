@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gameline.catalog.base import EVENTS, GAMES, OBS, r
-from gameline.functions.numeric import ratio
 from gameline.operators import heat, history, rolling, schedule
-from gameline.plans.views import events, games, observations, table, tidy
+from gameline.plans.views import events, games, observations, tidy
 
 _W = "PARTITION BY player ORDER BY game_date, seq"
 
@@ -62,7 +60,7 @@ PREV_HIGH = f"""WITH {OBS} SELECT player, seq,
 
 
 def trend(spark, sf):
-    spec = rolling.RollingSpec(stats=(), means={20: 1}, trends=["value"])
+    spec = rolling.RollingSpec(stats=["value"], means={5: 1, 20: 1}, trends=["value"])
     out = rolling.rolling_features(observations(spark, sf), spec)
     return tidy(out.select("player", "seq", "value_trend"))
 

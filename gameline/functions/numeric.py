@@ -17,6 +17,12 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top / F.nullif(bottom, F.lit(0.0))
 
 
+def round_even(c: Column, digits: int = 1) -> Column:
+    """Round the scaled double half to even, the rounding of array libraries."""
+    scale = float(10 ** digits)
+    return F.rint(c * F.lit(scale)) / F.lit(scale)
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0; NULL counts as not holding."""
     return F.coalesce(condition, F.lit(False)).cast("int")
@@ -44,4 +50,4 @@ def game_score(pts="pts", fg="fg", fga="fga", ft="ft", fta="fta", orb="orb", drb
     total = F.lit(0.0)
     for name, weight in weights:
         total = total + F.col(name) * F.lit(weight)
-    return F.bround(total, 1) if rounded else total
+    return round_even(total, 1) if rounded else total

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gameline.functions import metrics, odds
 from gameline.functions.metrics import aliased
-from gameline.functions.numeric import bucket
+from gameline.functions.numeric import bucket, round_even
 
 # fixed values: confidence buckets and their labels
 CONFIDENCE_BUCKETS = [(0.50, 0.55, "Low (50-55%)"), (0.55, 0.60, "Med (55-60%)"),
@@ -141,10 +141,10 @@ def wide_scores(latest: DataFrame, scores: Mapping[str, Column], lines: Mapping[
     """Per-prop prediction, line, edge and direction as columns of one row per entity."""
     out: dict[str, Column] = {}
     for prop, score in scores.items():
-        p, line = F.greatest(score, F.lit(0.0)), F.bround(lines[prop], 1)
-        out[prop] = F.bround(p, 1)
+        p, line = F.greatest(score, F.lit(0.0)), round_even(lines[prop], 1)
+        out[prop] = round_even(p, 1)
         out[f"{prop}_line"] = line
-        out[f"{prop}_edge"] = F.bround(p - line, 1)
+        out[f"{prop}_edge"] = round_even(p - line, 1)
         out[f"{prop}_direction"] = F.when(line.isNotNull(), odds.direction(p, line))
     return latest.withColumns(out)
 
@@ -181,7 +181,7 @@ def lock_bets(edges: DataFrame, locked_at: Column, min_edge: float = 3.0) -> Dat
     return (edges.where(size >= min_edge).select(
         F.to_date(locked_at).alias("date"), locked_at.alias("locked_time"), "player",
         F.col("prop_display").alias("prop"), F.col("real_direction").alias("bet_direction"), "vegas_line",
-        "prediction", F.bround("real_edge", 1).alias("edge"), F.bround(size, 1).alias("edge_abs"),
+        "prediction", round_even(F.col("real_edge"), 1).alias("edge"), round_even(size, 1).alias("edge_abs"),
         F.when(size >= 5, F.lit("HIGH")).otherwise(F.lit("MED")).alias("confidence"),
         F.col("bet_odds").alias("odds"), F.lit(None).cast("double").alias("actual"),
         F.lit(None).cast("string").alias("result"), F.lit(None).cast("double").alias("profit")))

@@ -23,7 +23,8 @@ def prior_agg(agg, c: str, w: WindowSpec, rows: int, min_rows: int = 1) -> Colum
 class RollingSpec:
     """Which rolling columns to build.
 
-    ``means`` maps a window length to its minimum number of values, ``stds`` likewise.
+    ``means`` maps a window length to its minimum number of values, ``stds`` likewise.  A trend is the
+    ratio of the 5 and 20 row means, NULL on a zero mean.
     """
 
     stats: Sequence[str]
@@ -39,6 +40,10 @@ class RollingSpec:
     gap: bool = False
     leads: Mapping[str, str] = field(default_factory=dict)
 
+    def __post_init__(self):
+        if self.trends and not (set(self.trends) <= set(self.stats) and {5, 20} <= set(self.means)):
+            raise ValueError("a trend needs the 5 and 20 row means of its statistic")
+
     @property
     def lookback(self) -> int:
         return max([1, 3 if self.load else 1, *self.means, *self.stds])
@@ -51,8 +56,6 @@ class RollingSpec:
         for stat in self.std_stats:
             for rows, least in self.stds.items():
                 out[f"{stat}_std_l{rows}"] = prior_agg(F.stddev_samp, stat, w, rows, least)
-        for stat in self.trends:
-            out[f"{stat}_trend"] = ratio(prior_agg(F.avg, stat, w, 5), prior_agg(F.avg, stat, w, 20))
         if self.load:
             m = self.load
             before = F.lag(m, 1).over(w)
@@ -66,6 +69,11 @@ class RollingSpec:
             out[name] = F.lead(source, 1).over(w)
         return out
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Columns that follow from the window columns."""
+        made = {f"{s}_trend": ratio(F.col(f"{s}_l5"), F.col(f"{s}_l20")) for s in self.trends}
+        return df.withColumns(made) if made else df
+
 
 # fixed values: the thirteen box-score statistics that get rolling means
 BOX_STATS = ["pts", "trb", "ast", "mp", "fga", "fg_pct", "3pa", "3p_pct", "fta", "ft_pct", "tov", "stl", "blk"]
@@ -114,7 +122,7 @@ def rolling_features(df: DataFrame, spec: RollingSpec, entity: Sequence[str] = (
                              1 if spec.leads else 0, chunk_rows)
         return framed.withColumns(counters((F.col("_ordinal") - 1).cast("int"))).drop("_ordinal")
 
-    return by_heat(df, entity, ordinary, hot, chunk_rows)
+    return spec.finish(by_heat(df, entity, ordinary, hot, chunk_rows))
 
 
 def prior_count(df: DataFrame, entity: Sequence[str], order: str, seq: Sequence[str],
