@@ -9,7 +9,7 @@ from gameline.functions import metrics as M
 from gameline.functions import odds
 from gameline.functions.metrics import aliased
 from gameline.operators import decisions, quality, latest, lines, rolling
-from gameline.plans.views import bets, games, observations, predictions, table, tidy
+from gameline.plans.views import bets, game_players, games, observations, predictions, table, tidy
 
 
 def backtest_bets(spark, sf):
@@ -77,7 +77,7 @@ SELECT seq, n AS cumulative_bets, {r('p', 'cumulative_profit')}, {r('p / n * 100
 def by_tier(spark, sf):
     minutes = rolling.rolling_features(
         games(spark, sf).select("player", "game_date", "seq", "mp"),
-        rolling.RollingSpec(stats=["mp"], means={10: 1}, counter=None))
+        rolling.RollingSpec(stats=["mp"], means={10: 1}, counter=None), bound=game_players(spark, sf))
     return tidy(decisions.by_tier(bets(spark, sf), minutes))
 
 
@@ -365,7 +365,7 @@ UNION ALL {_record('prop', "split_part(prop, '#', 1)", "GROUP BY split_part(prop
 def _scores(spark, sf):
     """Wide scores per entity: the five-game mean as prediction, the ten-game mean as line."""
     spec = rolling.RollingSpec(stats=["pts", "trb", "ast"], means={5: 1, 10: 1})
-    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "opp", "pts", "trb", "ast"), spec)
+    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "opp", "pts", "trb", "ast"), spec, bound=game_players(spark, sf))
     last = latest.latest_row(g, ["player"], ["game_date", "seq"])
     props = ["pts", "trb", "ast", "pra", "pr", "pa"]
 

@@ -8,7 +8,7 @@ from gameline.catalog.base import GAMES, OBS, r
 from gameline.catalog.teams import FORM, RANKED, SCHEDULE
 from gameline.operators import context, dataset, overunder, quality, rolling, schedule, stats
 from gameline.plans import features
-from gameline.plans.views import games, observations, predictions, table, tidy
+from gameline.plans.views import game_players, games, observations, predictions, table, tidy
 
 _W = "PARTITION BY player ORDER BY game_date, seq"
 
@@ -81,7 +81,7 @@ _MEDIAN = ["pts", "trb", "ast", "mp", "fga", "pts_l5", "pts_l20"]
 
 def _medians_base(spark, sf):
     spec = rolling.RollingSpec(stats=["pts"], means={5: 1, 20: 1}, counter=None)
-    return rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", *_MEDIAN[:5]), spec)
+    return rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", *_MEDIAN[:5]), spec, bound=game_players(spark, sf))
 
 
 _MB = GAMES + f""", mb AS (SELECT *, avg(pts) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS pts_l5,
@@ -140,7 +140,7 @@ def seeded_sample(spark, sf):
 
 def modelling_table(spark, sf):
     """Identifiers, targets and the leak-free numeric columns of the task chain."""
-    df = features.task_features(games(spark, sf))
+    df = features.task_features(games(spark, sf), game_players(spark, sf))
     cols = dataset.feature_columns(df.drop("seq"))
     dataset.require_leak_free(cols, "pts")
     keep = dataset.enough_history(df, 10)
@@ -149,7 +149,7 @@ def modelling_table(spark, sf):
 
 def feature_table(spark, sf):
     """The whole task chain: rolling form, opponent context and schedule on every row."""
-    df = features.task_features(games(spark, sf))
+    df = features.task_features(games(spark, sf), game_players(spark, sf))
     return tidy(df.drop("res", *rolling.BOX_STATS), "days_rest", "player_days_rest", "games_last_7d", "games_last_14d")
 
 
@@ -192,7 +192,7 @@ FROM ({FEATURE_TABLE}) f JOIN games g ON f.seq = g.seq WHERE f.games_played >= 1
 def recent_state(spark, sf):
     """Rolling form and rest of every game."""
     spec = rolling.RollingSpec(stats=["pts", "mp"], std_stats=["pts"], stds={10: 3}, load="mp")
-    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "pts", "mp"), spec)
+    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "pts", "mp"), spec, bound=game_players(spark, sf))
     return schedule.attach_schedule(g, schedule.team_schedule(g))
 
 
@@ -301,7 +301,7 @@ UNION ALL SELECT 'null_pct', {r('n', 'v')}, CAST(n < 20 AS BIGINT) FROM x"""
 
 def dq_schedule(spark, sf):
     spec = rolling.RollingSpec(stats=(), means={}, load="mp", counter=None)
-    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "pts", "mp"), spec)
+    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "pts", "mp"), spec, bound=game_players(spark, sf))
     return tidy(quality.schedule_checks(schedule.attach_schedule(g, schedule.team_schedule(g))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gameline.catalog.base import EVENTS, GAMES, OBS, r
 from gameline.operators import heat, history, rolling, schedule
-from gameline.plans.views import events, games, observations, tidy
+from gameline.plans.views import events, game_players, games, observations, tidy
 
 _W = "PARTITION BY player ORDER BY game_date, seq"
 
@@ -145,8 +145,8 @@ SELECT player, seq, CAST(rest AS BIGINT) AS days_rest, CAST(rest = 0 AS BIGINT)
 
 def history_edge(spark, sf):
     spec = rolling.RollingSpec(stats=["pts", "trb", "ast"], means={10: 1}, counter=None)
-    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "opp", "pts", "trb", "ast"), spec)
-    h = history.matchup_history(g)
+    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "opp", "pts", "trb", "ast"), spec, bound=game_players(spark, sf))
+    h = history.matchup_history(g, bound=game_players(spark, sf))
     return tidy(h.drop("game_date", "opp", "pts", "trb", "ast", "pts_l10", "trb_l10", "ast_l10"))
 
 
@@ -187,7 +187,7 @@ RUNNING_COUNT = f"""WITH {OBS} SELECT seq, row_number() OVER (ORDER BY game_date
 
 def box_rolling(spark, sf):
     """All thirteen statistics with the single-file parameters."""
-    g = rolling.rolling_features(games(spark, sf), rolling.spec_single())
+    g = rolling.rolling_features(games(spark, sf), rolling.spec_single(), bound=game_players(spark, sf))
     made = [c for c in g.columns if c.endswith(("_l5", "_l10", "_l20", "_trend", "_l3")) or c in (
         "games_played", "games_streak", "high_min_prev", "player_days_rest")]
     return tidy(g.select("player", "seq", *made), "player_days_rest")

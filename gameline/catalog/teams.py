@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gameline.catalog.base import GAMES, OBS, r
 from gameline.operators import context, latest, lines, rolling, schedule
-from gameline.plans.views import games, observations, table, tidy
+from gameline.plans.views import game_players, games, observations, table, tidy
 
 TEAMS = GAMES + """,
 teams AS (SELECT tm, game_date, opp, sum(pts) AS tm_pts, sum(trb) AS tm_trb, sum(ast) AS tm_ast, sum(fga) AS tm_fga,
@@ -140,7 +140,7 @@ DISTINCT_KEYS = f"WITH {GAMES} SELECT DISTINCT tm, CAST(game_date AS VARCHAR) AS
 
 def _with_minutes(spark, sf):
     spec = rolling.RollingSpec(stats=["mp"], means={10: 1}, counter=None)
-    return rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "opp", "mp"), spec)
+    return rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "tm", "opp", "mp"), spec, bound=game_players(spark, sf))
 
 
 MINUTES = GAMES + """,
@@ -170,8 +170,7 @@ LATEST_ROW = f"""WITH {MINUTES} SELECT player, CAST(game_date AS VARCHAR) AS gam
 def roster_expand(spark, sf):
     """Rosters of the region pairs that shipped to each other on the newest date."""
     m = _with_minutes(spark, sf)
-    newest = F.broadcast(m.agg(F.max("game_date").alias("_newest")))
-    fixtures = (m.join(newest, F.col("game_date") == F.col("_newest"))
+    fixtures = (m.where(F.col("game_date") == m.agg(F.max("game_date")).scalar())
                 .select(F.col("tm").alias("home"), F.col("opp").alias("away")).distinct())
     return tidy(latest.roster_for_games(m, fixtures, min_minutes=15.0))
 

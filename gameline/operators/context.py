@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gameline.functions.rows import row_of
 from gameline.operators.rolling import prior_agg
 
 # fixed values: statistics summed to team level, and the ones mirrored as "allowed"
@@ -78,9 +79,10 @@ def average_ranks(teams: DataFrame, columns: Mapping[str, str], within: str = "g
     """
     out = {}
     for name, c in columns.items():
-        least = F.rank().over(Window.partitionBy(within).orderBy(F.col(c).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(within, c))
-        out[name] = F.when(F.col(c).isNotNull(), least + (ties - 1) / F.lit(2.0))
+        w = Window.partitionBy(within).orderBy(F.col(c).asc_nulls_last())
+        # rows up to and including the ties: the last place the ties share
+        last = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        out[name] = F.when(F.col(c).isNotNull(), (F.rank().over(w) + last) / F.lit(2.0))
     return teams.withColumns(out)
 
 
@@ -121,8 +123,7 @@ def opponent_means(df: DataFrame, stats: Sequence[str] = ALLOWED, rows: int = 10
 def neutral_fill(df: DataFrame, means: Sequence[str], constants: Mapping[str, float]) -> DataFrame:
     """Fill NULL with the column's mean over the table, or with a constant."""
     if means:
-        row = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in means])
-        df = df.join(F.broadcast(row), F.lit(True)).withColumns(
-            {c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in means}).drop(*[f"_mean_{c}" for c in means])
+        row = row_of(df.agg(*[F.avg(c).alias(c) for c in means]))
+        df = df.withColumns({c: F.coalesce(F.col(c), row[c]) for c in means})
     fills: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in constants.items()}
     return df.withColumns(fills) if fills else df

@@ -111,9 +111,12 @@ def history_report(df: DataFrame, least: int = 10, counter: str = "games_played"
 
 def temporal_split(df: DataFrame, test_days: int = 21, order: str = "game_date") -> DataFrame:
     """Mark rows from the last ``test_days`` days before the newest date: ``is_test`` is 0 or 1."""
-    newest = df.agg(F.date_sub(F.max(order), test_days).alias("_cutoff"))
-    return (df.join(F.broadcast(newest), F.lit(True))
-            .withColumn("is_test", (F.col(order) >= F.col("_cutoff")).cast("int")).drop("_cutoff"))
+    cutoff = df.agg(F.date_sub(F.max(order), test_days)).scalar()
+    return df.withColumn("is_test", (F.col(order) >= cutoff).cast("int"))
+
+
+def row_count(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1))).scalar()
 
 
 def expanding_folds(df: DataFrame, order: str = "game_date", seq: Sequence[str] = ("seq",), k: int = 5,
@@ -124,30 +127,26 @@ def expanding_folds(df: DataFrame, order: str = "game_date", seq: Sequence[str]
     them; the last fold ends at the last row.
     """
     numbered = running_totals(df, [], order, seq, {}, ordinal)
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_rows")))
-    size = F.floor(F.col("_rows") / F.lit(k + 1))
+    rows = row_count(df)
+    size = F.floor(rows / F.lit(k + 1))
     position = F.col(ordinal) - 1
-    fold = F.floor((position - (F.col("_rows") - size * k)) / size)
-    return (numbered.join(total, F.lit(True))
-            .withColumn("fold", F.when(position >= F.col("_rows") - size * k, fold).otherwise(F.lit(-1)).cast("int"))
-            .drop("_rows"))
+    fold = F.floor((position - (rows - size * k)) / size)
+    return numbered.withColumn("fold", F.when(position >= rows - size * k, fold).otherwise(F.lit(-1)).cast("int"))
 
 
 def contiguous_folds(df: DataFrame, order: str, seq: Sequence[str], k: int = 3, name: str = "fold") -> DataFrame:
     """Unshuffled folds over the row order; the first ``n % k`` folds hold one row more."""
     numbered = running_totals(df, [], order, seq, {}, "_ordinal")
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_rows")))
-    base, longer = F.floor(F.col("_rows") / F.lit(k)), F.col("_rows") % k
+    rows = row_count(df)
+    base, longer = F.floor(rows / F.lit(k)), rows % k
     position = F.col("_ordinal") - 1
     edge = longer * (base + 1)
     fold = F.when(position < edge, F.floor(position / (base + 1))).otherwise(longer + F.floor((position - edge) / base))
-    return numbered.join(total, F.lit(True)).withColumn(name, fold.cast("int")).drop("_rows", "_ordinal")
+    return numbered.withColumn(name, fold.cast("int")).drop("_ordinal")
 
 
 def position_split(df: DataFrame, order: str, seq: Sequence[str], share: float = 0.8) -> DataFrame:
     """Mark the first ``share`` of the rows in time order as training rows."""
     numbered = running_totals(df, [], order, seq, {}, "_ordinal")
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_rows")))
-    return (numbered.join(total, F.lit(True))
-            .withColumn("is_train", (F.col("_ordinal") <= F.floor(F.col("_rows") * F.lit(share))).cast("int"))
-            .drop("_ordinal", "_rows"))
+    return numbered.withColumn(
+        "is_train", (F.col("_ordinal") <= F.floor(row_count(df) * F.lit(share))).cast("int")).drop("_ordinal")

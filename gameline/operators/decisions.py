@@ -228,17 +228,17 @@ def direction_split(bets: DataFrame) -> DataFrame:
     grouped = bets.groupBy("direction").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("strength") == 3).alias("strong"),
         F.count_if(F.col("strength") == 2).alias("moderate"), F.count_if(F.col("strength") == 1).alias("slight"))
-    total = F.broadcast(bets.agg(F.count(F.lit(1)).alias("_all")))
-    return grouped.join(total, F.lit(True)).withColumn("share_pct", F.col("n") / F.col("_all") * 100).drop("_all")
+    total = bets.agg(F.count(F.lit(1))).scalar()
+    return grouped.withColumn("share_pct", F.col("n") / total * 100)
 
 
 def run_summary(predictions: DataFrame, found: DataFrame, run_date: Column) -> DataFrame:
     """Totals of one run."""
-    players = predictions.agg(F.count(F.lit(1)).alias("total_players"))
+    players = predictions.agg(F.count(F.lit(1))).scalar()
     bets = found.agg(F.count(F.lit(1)).alias("total_opportunities"),
                      F.count_if(F.col("strength") == "STRONG").alias("strong_bets"),
                      F.count_if(F.col("strength") == "MODERATE").alias("moderate_bets"))
-    return players.join(F.broadcast(bets), F.lit(True)).select(run_date.cast("string").alias("date"), "*")
+    return bets.select(run_date.cast("string").alias("date"), players.alias("total_players"), "*")
 
 
 def rule_flags(bets: DataFrame) -> DataFrame:

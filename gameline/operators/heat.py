@@ -38,13 +38,18 @@ def _keyed(df: DataFrame, keys: Sequence[str], prefix: str) -> tuple[DataFrame,
 
 
 def by_heat(df: DataFrame, keys: Sequence[str], ordinary: Callable[[DataFrame], DataFrame],
-            hot: Callable[[DataFrame], DataFrame], max_rows: int = CHUNK_ROWS) -> DataFrame:
+            hot: Callable[[DataFrame], DataFrame], max_rows: int = CHUNK_ROWS,
+            bound: DataFrame | None = None) -> DataFrame:
     """Run ``ordinary`` on the rows of keys with up to ``max_rows`` rows and ``hot`` on the rest.
 
+    ``bound`` is an optional cheaper frame to count in: it has the key columns and at least as many
+    rows per key as ``df``, such as the table ``df`` was joined from.
+
     One small job decides: it reads the key columns only and brings back a yes or no.  Without
     hot keys the plan is ``ordinary`` alone, so chained operators keep short plans.
     """
-    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    counted = df if bound is None else bound
+    found = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     if found.isEmpty():
         return ordinary(df)
     found, renamed = _keyed(found.select(*keys), keys, "_hot")
@@ -73,7 +78,8 @@ def _slots(rows: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str],
 
 
 def with_frames(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str], build: Build,
-                lookback: int = 0, lookahead: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                lookback: int = 0, lookahead: int = 0, chunk_rows: int = CHUNK_ROWS,
+                bound: DataFrame | None = None) -> DataFrame:
     """Add window columns whose frames reach at most ``lookback`` rows back and ``lookahead`` forward.
 
     ``build`` gets the window (partitioned by the key, ordered by ``order`` then ``seq``) and
@@ -112,7 +118,7 @@ def with_frames(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence[st
         framed = copies.withColumns(build(Window.partitionBy(*keys, "_into").orderBy(order, *seq)))
         return framed.where(F.col("_into") == F.col("_chunk")).drop("_into", "_chunk")
 
-    return by_heat(df, keys, ordinary, hot, chunk_rows)
+    return by_heat(df, keys, ordinary, hot, chunk_rows, bound)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str],

@@ -27,11 +27,11 @@ def clean_checks(df: DataFrame, key: Sequence[str] = ("game_id",), order="game_d
                  minutes="mp", share="fg_pct", max_minutes: float = 70.0) -> DataFrame:
     """Duplicate keys, missing dates, negative points, impossible minutes and percentages."""
     keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    dup = keys.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("dup"))
+    dup = keys.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).scalar()
     m, s = F.col(minutes), F.col(share)
     row = df.agg(F.count_if(F.col(order).isNull()).alias("dates"), F.count_if(F.col(points) < 0).alias("points"),
                  F.count_if((m < 0) | (m > max_minutes)).alias("minutes"),
-                 F.count_if((s < 0) | (s > 1)).alias("share")).join(F.broadcast(dup), F.lit(True))
+                 F.count_if((s < 0) | (s > 1)).alias("share")).withColumn("dup", dup)
     names = {"duplicate_games": "dup", "null_dates": "dates", "negative_pts": "points",
              "invalid_minutes": "minutes", "invalid_fg_pct": "share"}
     return check_table(row, {n: (F.col(c), F.col(c) == 0) for n, c in names.items()})
@@ -49,9 +49,9 @@ def rolling_leak_checks(df: DataFrame, entity="player", order="game_date", seq="
         F.max(F.when(F.col(counter) == 0, F.col(value))).alias("v"),
         F.max(F.when(F.col(counter) == 1, F.col(short))).alias("s"),
         F.count_if(F.col(counter) == 1).alias("n"))
-    off = pairs.agg(F.count_if((F.col("n") > 0) & ~flagged_equal("v", "s")).alias("second"))
+    off = pairs.agg(F.count_if((F.col("n") > 0) & ~flagged_equal("v", "s"))).scalar()
     row = df.agg(F.count_if(first & F.col(short).isNotNull()).alias("first"),
-                 pair_correlation(value, long).alias("corr")).join(F.broadcast(off), F.lit(True))
+                 pair_correlation(value, long).alias("corr")).withColumn("second", off)
     return check_table(row, {
         "first_event_history": (F.col("first"), F.col("first") == 0),
         "second_event_mismatch": (F.col("second"), F.col("second") == 0),

@@ -99,10 +99,11 @@ def spec_seasons(**extra) -> RollingSpec:
 
 def rolling_features(df: DataFrame, spec: RollingSpec, entity: Sequence[str] = ("player",),
                      order: str = "game_date", seq: Sequence[str] = ("seq",),
-                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                     chunk_rows: int = CHUNK_ROWS, bound: DataFrame | None = None) -> DataFrame:
     """Rolling means, deviations, trends, load and counters in one pass over each entity's rows.
 
-    Row numbers reach back without limit, so hot entities get theirs from running totals.
+    Row numbers reach back without limit, so hot entities get theirs from running totals.  ``bound`` is an
+    optional cheaper frame for the size check.
     """
 
     def counters(before: Column) -> dict[str, Column]:
@@ -122,7 +123,7 @@ def rolling_features(df: DataFrame, spec: RollingSpec, entity: Sequence[str] = (
                              1 if spec.leads else 0, chunk_rows)
         return framed.withColumns(counters((F.col("_ordinal") - 1).cast("int"))).drop("_ordinal")
 
-    return spec.finish(by_heat(df, entity, ordinary, hot, chunk_rows))
+    return spec.finish(by_heat(df, entity, ordinary, hot, chunk_rows, bound))
 
 
 def prior_count(df: DataFrame, entity: Sequence[str], order: str, seq: Sequence[str],

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gameline.functions.rows import row_of
+
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "name",
             value: str = "value") -> DataFrame:
@@ -53,10 +55,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10000)
 def fill_medians(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """Fill NULL with the exact median of ``fitted_on`` (the table itself by default)."""
     row = exact_medians(fitted_on if fitted_on is not None else df, columns)
-    row = row.toDF(*[f"_median_{c}" for c in columns])
-    return df.join(F.broadcast(row), F.lit(True)).withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")) for c in columns}
-    ).drop(*[f"_median_{c}" for c in columns])
+    medians = row_of(row)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c]) for c in columns})
 
 
 def pair_correlation(a: str | Column, b: str | Column) -> Column:
@@ -96,9 +96,9 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def key_profile(df: DataFrame, key: Sequence[str], distinct: Sequence[str]) -> DataFrame:
     """Rows, rows beyond the first of their key, and distinct counts of the listed columns."""
     keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    dup = keys.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows"))
-    counts = df.agg(*[F.countDistinct(c).alias(f"distinct_{c}") for c in distinct])
-    return dup.join(F.broadcast(counts), F.lit(True))
+    counts = row_of(df.agg(*[F.countDistinct(c).alias(c) for c in distinct]))
+    return keys.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows")).select(
+        "rows", "duplicate_rows", *[counts[c].alias(f"distinct_{c}") for c in distinct])
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
@@ -116,11 +116,12 @@ def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) ->
 def line_fit(df: DataFrame, x: str, y: str, train: Column) -> DataFrame:
     """Least-squares line fitted where ``train`` holds, scored on the other rows."""
     part = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_train", train)
-    fit = part.where("_train").agg(
+    fit = row_of(part.where("_train").agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.count(F.lit(1)).alias("train_rows"))
-    e = F.col(y) - (F.col("intercept") + F.col("slope") * F.col(x))
-    scored = part.where(~F.col("_train")).join(F.broadcast(fit), F.lit(True))
-    return (scored.groupBy("slope", "intercept", "train_rows")
-            .agg(F.count(F.lit(1)).alias("test_rows"), F.avg(F.abs(e)).alias("mae"),
-                 (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2")))
+        F.count(F.lit(1)).alias("train_rows")))
+    test = part.where(~F.col("_train")).withColumn("_e", F.col(y) - (fit["intercept"] + fit["slope"] * F.col(x)))
+    e = F.col("_e")
+    scored = test.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(F.abs(e)).alias("mae"),
+                      (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"))
+    return scored.select(fit["slope"].alias("slope"), fit["intercept"].alias("intercept"),
+                         fit["train_rows"].alias("train_rows"), "test_rows", "mae", "r2")

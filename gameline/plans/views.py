@@ -67,6 +67,11 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
         *rolling.BOX_STATS)
 
 
+def game_players(spark: SparkSession, folder: str) -> DataFrame:
+    """The player of every order: at least as many rows per player as there are games."""
+    return table(spark, folder, "orders").select(F.col("o_custkey").alias("player"))
+
+
 def predictions(spark: SparkSession, folder: str, least_games: int = 5) -> DataFrame:
     """Predicted = mean of the last five values, line = mean of the last ten."""
     spec = rolling.RollingSpec(stats=["value"], means={5: 1, 10: 1})
