@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gameline.session import cut
+
 CHUNK_ROWS = 4_000_000
 
 Build = Callable[[WindowSpec], dict[str, Column]]
@@ -55,8 +57,9 @@ def by_heat(df: DataFrame, keys: Sequence[str], ordinary: Callable[[DataFrame],
     found, renamed = _keyed(found.select(*keys), keys, "_hot")
     found = F.broadcast(found)
     cond = same(keys, renamed)
+    # the hot rows are read several times, so they are written once where the cluster has a folder for it
     return ordinary(df.join(found, cond, "left_anti")).unionByName(
-        hot(df.join(found, cond, "left_semi")))
+        hot(cut(df.join(found, cond, "left_semi"))))
 
 
 def _slots(rows: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str],
