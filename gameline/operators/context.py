@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gameline.functions.rows import row_of
+from gameline.operators.heat import CHUNK_ROWS, by_heat, running_totals
 from gameline.operators.rolling import prior_agg
 
 # fixed values: statistics summed to team level, and the ones mirrored as "allowed"
@@ -50,25 +51,36 @@ def team_form(teams: DataFrame, stats: Sequence[str], rows: int = 10, min_rows:
     return teams.withColumns({f"{c}_l{rows}": prior_agg(F.avg, c, w, rows, min_rows) for c in stats})
 
 
-def average_rank(df: DataFrame, column: str, name: str, within: str = "game_date") -> DataFrame:
+def average_rank(df: DataFrame, column: str, name: str, within: str = "game_date",
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Ascending rank inside each date with ties sharing their mean rank; NULL stays unranked."""
-    return _ranked(df, column, name, within,
-                   lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                   + (F.col("_n") + 1) / F.lit(2.0))
+    upto = Window.partitionBy(within).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    shared = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
+    return _ranked(df, column, name, within, F.col(column), lambda v: v.withColumn("_upto", F.sum("_n").over(upto)),
+                   {"_upto": "_n"}, shared, chunk_rows)
 
 
-def dense_rank_desc(df: DataFrame, column: str, name: str, within: str = "game_date") -> DataFrame:
+def dense_rank_desc(df: DataFrame, column: str, name: str, within: str = "game_date",
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Dense rank inside each date, largest value first; NULL stays unranked."""
-    return _ranked(df, column, name, within, lambda w: F.dense_rank().over(w).cast("double"), descending=True)
+    place = F.row_number().over(Window.partitionBy(within).orderBy("_v"))
+    return _ranked(df, column, name, within, -F.col(column), lambda v: v.withColumn("_place", place),
+                   {}, F.col("_place").cast("double"), chunk_rows)
 
 
-def _ranked(df: DataFrame, column: str, name: str, within: str, rank, descending: bool = False) -> DataFrame:
-    # rows are counted per distinct value first, so only distinct values of a date meet in one window
-    values = df.where(F.col(column).isNotNull()).groupBy(within, column).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(within).orderBy(F.col(column).desc() if descending else F.col(column))
-    ranks = values.withColumn(name, rank(w)).select(
-        F.col(within).alias("_w"), F.col(column).alias("_v"), name)
-    return df.join(ranks, (F.col(within) == F.col("_w")) & (F.col(column) == F.col("_v")), "left").drop("_w", "_v")
+def _ranked(df: DataFrame, column: str, name: str, within: str, value: Column, windowed, sums: dict[str, str],
+            rank: Column, chunk_rows: int) -> DataFrame:
+    # rows are counted per distinct value first; a date with very many values is numbered in chunks
+    values = (df.where(F.col(column).isNotNull()).groupBy(within, value.alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+
+    def hot(v: DataFrame) -> DataFrame:
+        return running_totals(v.withColumn("_same", F.lit(0)), [within], "_same", ["_v"], sums, "_place",
+                              max(1, chunk_rows // 4)).drop("_same", *([] if not sums else ["_place"]))
+
+    ranks = by_heat(values, [within], windowed, hot, chunk_rows).select(
+        F.col(within).alias("_w"), F.col("_v"), rank.alias(name))
+    return df.join(ranks, (F.col(within) == F.col("_w")) & (value == F.col("_v")), "left").drop("_w", "_v")
 
 
 def average_ranks(teams: DataFrame, columns: Mapping[str, str], within: str = "game_date") -> DataFrame:

@@ -64,20 +64,28 @@ def by_heat(df: DataFrame, keys: Sequence[str], ordinary: Callable[[DataFrame],
 
 def _slots(rows: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str],
            slot_rows: int) -> DataFrame:
-    """Add ``_bin``: equal-width pieces of ``seq[0]`` inside overfull (keys, order) pairs, else 0."""
-    place = [*keys, order]
-    full = (rows.groupBy(*place)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(seq[0]).alias("_lo"), F.max(seq[0]).alias("_hi"))
-            .where(F.col("_n") > slot_rows)
-            .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(slot_rows)))
-            .drop("_n"))
-    if full.isEmpty():
-        return rows.withColumn("_bin", F.lit(0).cast("long"))
-    full, renamed = _keyed(full, place, "_full")
-    share = (F.col(seq[0]) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1)
-    return (rows.join(F.broadcast(full), same(place, renamed), "left")
-            .withColumn("_bin", F.coalesce(F.floor(share * F.col("_pieces")), F.lit(0)))
-            .drop("_lo", "_hi", "_pieces", *renamed))
+    """Add ``_bin``: the path of value ranges of ``seq[0]`` that holds the row, empty where none is needed.
+
+    A (keys, order) pair with more than ``slot_rows`` rows is cut into equal-width ranges of ``seq[0]``,
+    a range that is still too full is cut again, and so on.  Paths sort like the rows they hold.
+    """
+    place = [*keys, order, "_bin"]
+    binned = rows.withColumn("_bin", F.array().cast("array<bigint>"))
+    x = F.col(seq[0]).cast("double")
+    while True:
+        full = (binned.groupBy(*place)
+                .agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+                .where((F.col("_n") > slot_rows) & (F.col("_hi") > F.col("_lo")))
+                .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(slot_rows)))
+                .drop("_n"))
+        if full.isEmpty():
+            return binned
+        full, renamed = _keyed(cut(full), place, "_full")
+        part = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
+        deeper = F.concat("_bin", F.array(F.least(part, F.col("_pieces") - 1)))
+        binned = (binned.join(F.broadcast(full), same(place, renamed), "left")
+                  .withColumn("_bin", F.when(F.col("_pieces").isNotNull(), deeper).otherwise(F.col("_bin")))
+                  .drop("_lo", "_hi", "_pieces", *renamed))
 
 
 def with_frames(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str], build: Build,

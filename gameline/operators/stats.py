@@ -16,11 +16,12 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
     return df.unpivot(list(ids), list(columns), name, value)
 
 
-def exact_medians_long(df: DataFrame, columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
+def exact_medians_long(df: DataFrame, columns: Sequence[str], accuracy: int = 10000, cells: int = 4096) -> DataFrame:
     """Exact median of each column as (name, median) rows, without gathering a column in one task.
 
-    A sketch brackets the middle ranks; one more pass counts distinct values, everything outside the
-    bracket folded into one value on either side, and the middle is read off the running counts.
+    A sketch brackets the middle ranks.  One more pass counts distinct values: everything outside the
+    bracket falls into one cell on either side, the inside into ``cells`` equal cells.  Running counts
+    over the cells name the one or two cells with the middle, and only their values are ordered.
     """
     near = 3.0 / accuracy
     points = F.array(F.lit(0.5 - near), F.lit(0.5 + near))
@@ -29,21 +30,29 @@ def exact_medians_long(df: DataFrame, columns: Sequence[str], accuracy: int = 10
     bounds = sketch.unpivot([], list(columns), "_name", "_bounds")
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "name", "value").where(F.col("value").isNotNull())
-    v = F.col("value")
-    folded = (F.when(v < F.col("_bounds")[0], F.lit(float("-inf")))
-              .when(v > F.col("_bounds")[1], F.lit(float("inf"))).otherwise(v))
+    v, low, high = F.col("value"), F.col("_bounds")[0], F.col("_bounds")[1]
+    inside = F.floor(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)) * cells)
+    cell = F.when(v < low, F.lit(-1)).when(v > high, F.lit(cells + 1)).otherwise(inside)
     # the bounds hold one row per listed column
     counts = (long.join(F.broadcast(bounds), F.col("name") == F.col("_name"))
-              .groupBy("name", folded.alias("value")).agg(F.count(F.lit(1)).alias("_n")))
+              .groupBy("name", cell.alias("cell"), F.when((v >= low) & (v <= high), v).alias("value"))
+              .agg(F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy("name")
-    total = F.sum("_n").over(w)
-    upto = F.sum("_n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_total": total, "_upto": upto})
-    low = F.floor((F.col("_total") + 1) / F.lit(2))
-    high = F.ceil((F.col("_total") + 1) / F.lit(2))
+    first, last = F.floor((F.col("_total") + 1) / F.lit(2)), F.ceil((F.col("_total") + 1) / F.lit(2))
+    middle = (counts.groupBy("name", "cell").agg(F.sum("_n").alias("_c"))
+              .withColumns({"_total": F.sum("_c").over(w), "_upto": F.sum("_c").over(
+                  w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))})
+              .withColumns({"_first": first, "_last": last, "_before": F.col("_upto") - F.col("_c")})
+              .where((F.col("_upto") >= F.col("_first")) & (F.col("_before") < F.col("_last")))
+              .select(F.col("name").alias("_m"), F.col("cell").alias("_k"), "_before", "_first", "_last"))
+    # at most two cells per column hold the middle ranks
+    picked = counts.join(F.broadcast(middle), (F.col("name") == F.col("_m")) & (F.col("cell") == F.col("_k")))
+    upto = F.col("_before") + F.sum("_n").over(
+        Window.partitionBy("name", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = picked.withColumn("_rank", upto)
     return ranked.groupBy("name").agg(
-        ((F.min(F.when(F.col("_upto") >= low, F.col("value")))
-          + F.min(F.when(F.col("_upto") >= high, F.col("value")))) / F.lit(2.0)).alias("median"))
+        ((F.min(F.when(F.col("_rank") >= F.col("_first"), F.col("value")))
+          + F.min(F.when(F.col("_rank") >= F.col("_last"), F.col("value")))) / F.lit(2.0)).alias("median"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10000) -> DataFrame:

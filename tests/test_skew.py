@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gameline.operators import heat, history, rolling
+from gameline.operators import context, heat, history, rolling
 
 COLUMNS = "player long, game_date date, seq long, opp long, pts double, trb double, ast double"
 
@@ -143,3 +143,24 @@ def test_an_event_never_sees_itself(spark):
     h2 = history.matchup_history(changed).drop("pts", "pts_vs_opp")
     for r in h1.exceptAll(h2).collect():
         assert r.player == target.player and r.game_date > target.game_date
+
+
+def test_clustered_ids(spark):
+    """One far id must not leave all other rows of a date in one piece."""
+    df = skewed(spark, True).withColumn("seq", F.when(F.col("seq") == 0, 10**12).otherwise(F.col("seq")))
+    binned = heat._slots(df, ["player"], "game_date", ["seq"], 10)
+    assert binned.groupBy("player", "game_date", "_bin").count().agg(F.max("count")).first()[0] <= 20
+    w = Window.partitionBy("player").orderBy("game_date", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumns({"n": F.count(F.lit(1)).over(w), "total": F.sum("trb").over(w)})
+    got = heat.running_totals(df, ["player"], "game_date", ["seq"], {"total": "trb"}, "n", 10)
+    same(got.select(*want.columns), want)
+
+
+@pytest.mark.parametrize("rank", [context.average_rank, context.dense_rank_desc])
+def test_hot_dates_are_ranked_in_chunks(spark, rank):
+    df = skewed(spark, True).withColumn("v", F.sqrt(F.col("seq") % 401) * F.when(F.col("pts").isNotNull(), 1.0))
+    same(rank(df, "v", "r", chunk_rows=20), rank(df, "v", "r"))
+    got = rank(df, "v", "r").toPandas()
+    kind = {"method": "average"} if rank is context.average_rank else {"method": "dense", "ascending": False}
+    want = got.groupby("game_date").v.rank(**kind)
+    assert got.r.equals(want)
