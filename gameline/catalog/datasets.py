@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gameline.catalog.base import GAMES, OBS, r
-from gameline.catalog.teams import FORM, RANKED, SCHEDULE
+from gameline.catalog.teams import FORM, MIRROR, OPPONENT_MEANS, RANKED, SCHEDULE
 from gameline.operators import context, dataset, overunder, quality, rolling, schedule, stats
 from gameline.plans import features
 from gameline.plans.views import game_players, games, observations, predictions, table, tidy
@@ -153,6 +153,20 @@ def feature_table(spark, sf):
     return tidy(df.drop("res", *rolling.BOX_STATS), "days_rest", "player_days_rest", "games_last_7d", "games_last_14d")
 
 
+def single_table(spark, sf):
+    """The chain that keeps ten-game windows free for lines: deviations over 5 and 20, opponents over 5 games."""
+    df = features.single_features(games(spark, sf), game_players(spark, sf))
+    return tidy(df.drop("res", *rolling.BOX_STATS), "days_rest", "player_days_rest", "games_last_7d", "games_last_14d")
+
+
+def seasons_table(spark, sf):
+    """The multi-season chain: opponent means, dense ranks over rows, neutral fills and simplified rest."""
+    df = features.seasons_features(games(spark, sf).withColumns({
+        "player": F.col("player").cast("string"), "opp": F.col("opp").cast("string")}),
+        game_players(spark, sf).withColumn("player", F.col("player").cast("string")))
+    return tidy(df.drop("res", *rolling.BOX_STATS))
+
+
 def _frame(n: int) -> str:
     return f"({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 
@@ -183,6 +197,79 @@ LEFT JOIN sched s ON s.tm = f.tm AND s.game_date = f.game_date"""
 FEATURE_TABLE = _feature_sql()
 
 
+def _means(stats) -> list[str]:
+    return [r(f'avg("{s}") OVER {_frame(n)}', f'"{s}_l{n}"') for s in stats for n in (5, 10, 20)]
+
+
+def _stds(windows) -> list[str]:
+    return [r(f"CASE WHEN count({s}) OVER {_frame(n)} >= {m} THEN stddev_samp({s}) OVER {_frame(n)} END", f"{s}_std_l{n}")
+            for s in ("pts", "trb", "ast", "mp") for n, m in windows]
+
+
+_LOAD = [r(f"sum(mp) OVER {_frame(3)}", "mp_l3"), r(f"avg(mp) OVER {_frame(3)}", "mp_avg_l3")]
+_T5 = "(PARTITION BY tm ORDER BY game_date, opp ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+_ALLOWED = [f"{c}_allowed" for c in context.ALLOWED]
+
+
+def _single_sql() -> str:
+    trends = [r(f"avg({s}) OVER {_frame(5)} / nullif(avg({s}) OVER {_frame(20)}, 0)", f"{s}_trend") for s in ("pts", "trb", "ast")]
+    cols = [*_means(rolling.BOX_STATS), *_stds(((5, 3), (20, 5))), *trends, *_LOAD,
+            r(f"coalesce(lag(mp) OVER ({_W}) >= 36, false)::INT", "high_min_prev"),
+            r(f"game_date - lag(game_date) OVER ({_W})", "player_days_rest")]
+    form = ", ".join(f"CASE WHEN count({c}) OVER {_T5} >= 3 THEN avg({c}) OVER {_T5} END AS {c}_l5" for c in _ALLOWED)
+    rank = ", ".join(
+        f"CASE WHEN {c}_l5 IS NOT NULL THEN rank() OVER (PARTITION BY game_date ORDER BY {c}_l5 NULLS LAST)"
+        f" + (count(*) OVER (PARTITION BY game_date, {c}_l5) - 1) / 2.0::DOUBLE END AS {c}_rank" for c in _ALLOWED[:3])
+    opp = ", ".join([r(f"t.{c}_l5", f"opp_{c}_l5") for c in _ALLOWED] + [r(f"t.{c}_rank", f"opp_{c}_rank") for c in _ALLOWED[:3]])
+    return f"""WITH {MIRROR}, {SCHEDULE}, f5 AS (SELECT *, {form} FROM mirror), r5 AS (SELECT *, {rank} FROM f5),
+f AS (SELECT player, game_date, seq, tm, opp, row_number() OVER ({_W}) - 1 AS games_played,
+        row_number() OVER ({_W}) AS games_streak, {", ".join(cols)} FROM games)
+SELECT f.* EXCLUDE (game_date), CAST(f.game_date AS VARCHAR) AS game_date, {opp}, {r('s.days_rest', 'days_rest')},
+  CAST(coalesce(s.days_rest <= 1, false) AS BIGINT) AS is_b2b, CAST(coalesce(s.days_rest = 1, false) AS BIGINT) AS is_b2b_second,
+  {r('s.games_last_7d', 'games_last_7d')}, {r('s.games_last_14d', 'games_last_14d')}
+FROM f LEFT JOIN r5 t ON t.tm = f.opp AND t.game_date = f.game_date AND t.opp = f.tm
+LEFT JOIN sched s ON s.tm = f.tm AND s.game_date = f.game_date"""
+
+
+SINGLE_TABLE = _single_sql()
+
+
+def _seasons_sql() -> str:
+    cols = [*_means(rolling.BOX_STATS), *_stds(((10, 2),)), *_LOAD,
+            r(f"coalesce(lag(mp) OVER ({_W}) > 35, false)::INT", "high_min_prev")]
+    rank = ", ".join(f"CASE WHEN m.{c}_l10 IS NOT NULL THEN dense_rank() OVER (PARTITION BY g.game_date ORDER BY m.{c}_l10 DESC NULLS LAST)"
+                     f" END AS {c}_rk" for c in _ALLOWED[:3])
+    fill = [f"coalesce({c}_l10, avg({c}_l10) OVER ())" for c in _ALLOWED]
+    out = [r(e, f"opp_{c}_l10") for e, c in zip(fill, _ALLOWED)] + [r(f"coalesce({c}_rk, 15)", f"opp_{c}_rank") for c in _ALLOWED[:3]]
+    out += [r(fill[0], "opp_tm_pts_l10"), r(fill[3], "opp_tm_fga_l10")]
+    return f"""WITH {GAMES}, {OPPONENT_MEANS},
+f AS (SELECT seq, row_number() OVER ({_W}) - 1 AS games_played,
+  greatest(0, least(7, coalesce(game_date - lag(game_date) OVER ({_W}) - 1, 2))) AS rest, {", ".join(cols)} FROM games),
+j AS (SELECT g.seq, g.player, g.tm, g.opp, g.game_date, {", ".join(f"m.{c}_l10" for c in _ALLOWED)}, {rank}
+  FROM games g LEFT JOIN omf m ON g.opp = m.opp AND g.game_date = m.game_date)
+SELECT CAST(player AS VARCHAR) AS player, CAST(game_date AS VARCHAR) AS game_date, j.seq, tm, CAST(opp AS VARCHAR) AS opp,
+  player || '_vs_' || opp AS matchup_id, CAST(rest AS BIGINT) AS days_rest, CAST(rest = 0 AS BIGINT) AS is_b2b_second,
+  CAST(2 AS BIGINT) AS games_last_7d, f.* EXCLUDE (seq, rest), {", ".join(out)} FROM j JOIN f ON j.seq = f.seq"""
+
+
+SEASONS_TABLE = _seasons_sql()
+
+
+def line_proxies(spark, sf):
+    """Combined targets and the lines that stand for all six props."""
+    spec = rolling.RollingSpec(stats=["pts", "trb", "ast"], means={10: 1}, counter=None)
+    g = rolling.rolling_features(games(spark, sf).select("player", "game_date", "seq", "pts", "trb", "ast"), spec,
+                                 bound=game_players(spark, sf))
+    out = dataset.line_proxies(dataset.combo_targets(g))
+    return tidy(out.select("seq", "pra", "pra_l10", *[f"{p}_line" for p in ("pts", "trb", "ast", "pra", "pr", "pa")]))
+
+
+LINE_PROXIES = f"""WITH {GAMES}, x AS (SELECT seq, pts + trb + ast AS pra, avg(pts) OVER {_frame(10)} AS p,
+  avg(trb) OVER {_frame(10)} AS t, avg(ast) OVER {_frame(10)} AS a FROM games)
+SELECT seq, {r('pra')}, {r('p + t + a', 'pra_l10')}, {r('p', 'pts_line')}, {r('t', 'trb_line')}, {r('a', 'ast_line')},
+  {r('p + t + a', 'pra_line')}, {r('p + t', 'pr_line')}, {r('p + a', 'pa_line')} FROM x"""
+
+
 _LINE_COLUMNS = [f"{s}_l10" for s in rolling.BOX_STATS]
 MODELLING_TABLE = f"""WITH {GAMES} SELECT f.* EXCLUDE ({", ".join(f'"{c}"' for c in _LINE_COLUMNS)}), g.res,
   {r('g.pts', 'pts')}, {r('g.trb', 'trb')}, {r('g.ast', 'ast')}
@@ -377,6 +464,9 @@ QUERIES = {
     "seeded_sample": (seeded_sample, None),
     "modelling_table": (modelling_table, MODELLING_TABLE),
     "feature_table": (feature_table, FEATURE_TABLE),
+    "single_table": (single_table, SINGLE_TABLE),
+    "seasons_table": (seasons_table, SEASONS_TABLE),
+    "line_proxies": (line_proxies, LINE_PROXIES),
     "over_under_features": (over_under_features, OVER_UNDER),
     "linear_sanity": (linear_sanity, LINEAR_SANITY),
     "dq_clean": (dq_clean, DQ_CLEAN),

@@ -81,7 +81,7 @@ def dense_rank_desc(spark, sf):
 DENSE_RANK_DESC = f"""WITH {OBS} SELECT seq,
   {r("dense_rank() OVER (PARTITION BY game_date ORDER BY value DESC)", "value_rank")} FROM obs"""
 
-_OM = """om AS (SELECT opp, game_date, avg(pts) AS pts_allowed, avg(trb) AS trb_allowed, avg(ast) AS ast_allowed,
+OPPONENT_MEANS = """om AS (SELECT opp, game_date, avg(pts) AS pts_allowed, avg(trb) AS trb_allowed, avg(ast) AS ast_allowed,
   avg(fga) AS fga_allowed FROM games GROUP BY ALL),
 omf AS (SELECT *, avg(pts_allowed) OVER w AS pts_allowed_l10, avg(trb_allowed) OVER w AS trb_allowed_l10,
   avg(ast_allowed) OVER w AS ast_allowed_l10, avg(fga_allowed) OVER w AS fga_allowed_l10
@@ -92,7 +92,7 @@ def opponent_mean(spark, sf):
     return tidy(context.opponent_means(games(spark, sf)))
 
 
-OPPONENT_MEAN = f"""WITH {GAMES}, {_OM} SELECT opp, CAST(game_date AS VARCHAR) AS game_date,
+OPPONENT_MEAN = f"""WITH {GAMES}, {OPPONENT_MEANS} SELECT opp, CAST(game_date AS VARCHAR) AS game_date,
   {", ".join(r(f"{c}_allowed") + ", " + r(f"{c}_allowed_l10") for c in context.ALLOWED)} FROM omf"""
 
 
@@ -105,7 +105,7 @@ def neutral_fill(spark, sf):
     return tidy(filled.select("player", "seq", "pts_allowed_l10", "fga_allowed_l10", "pts_allowed_rank"))
 
 
-NEUTRAL_FILL = f"""WITH {GAMES}, {_OM}, j AS (SELECT g.player, g.seq, g.game_date, pts_allowed_l10, fga_allowed_l10,
+NEUTRAL_FILL = f"""WITH {GAMES}, {OPPONENT_MEANS}, j AS (SELECT g.player, g.seq, g.game_date, pts_allowed_l10, fga_allowed_l10,
   CASE WHEN pts_allowed_l10 IS NOT NULL
        THEN dense_rank() OVER (PARTITION BY g.game_date ORDER BY pts_allowed_l10 DESC NULLS LAST) END AS rk
   FROM games g LEFT JOIN omf m ON g.opp = m.opp AND g.game_date = m.game_date)

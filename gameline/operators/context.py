@@ -98,6 +98,19 @@ def average_ranks(teams: DataFrame, columns: Mapping[str, str], within: str = "g
     return teams.withColumns(out)
 
 
+def dense_ranks(means: DataFrame, columns: Mapping[str, str], within: str = "game_date") -> DataFrame:
+    """Dense ranks, largest first, of several columns over a table with one row per opponent and date.
+
+    Ranking rows densely by a value their opponent and date decide gives the same ranks, so the ranks
+    are made here, where a date holds one row per opponent, and joined to the rows afterwards.
+    """
+    out = {}
+    for name, c in columns.items():
+        w = Window.partitionBy(within).orderBy(F.col(c).desc_nulls_last())
+        out[name] = F.when(F.col(c).isNotNull(), F.dense_rank().over(w).cast("double"))
+    return means.withColumns(out)
+
+
 def attach_opponent(df: DataFrame, teams: DataFrame, columns: Sequence[str] = OPPONENT_COLUMNS, team="tm",
                     order="game_date", opp="opp", match_game: bool = True) -> DataFrame:
     """Give each row the ``opp_`` features of the team it faces, as known before that date.
