@@ -61,7 +61,9 @@ class Scaling:
 
     @classmethod
     def fit(cls, train: DataFrame, features: Sequence[str]) -> Scaling:
-        medians = {c: v if v is not None else 0.0 for c, v in _one_row(stats.exact_medians(train, features)).items()}
+        # one row per feature
+        found = {r["name"]: r["median"] for r in stats.exact_medians_long(train, features).collect()}
+        medians = {c: found.get(c, 0.0) for c in features}
         filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in features])
         row = _one_row(filled.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
                                   *[F.stddev_pop(c).alias(f"s_{c}") for c in features]))
