@@ -44,8 +44,8 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("trb"),
         F.sum("l_linenumber").cast("double").alias("ast"),
         F.least(F.lit(48.0), F.floor(F.sum(F.floor(F.col("l_extendedprice") / 1000)) / 5).cast("double")).alias("mp"),
-        F.sum(F.round(F.col("l_tax") * 100)).alias("fga"),
-        F.sum(F.round(F.col("l_discount") * 100)).alias("fg_pct"),
+        F.sum(F.rint(F.col("l_tax") * 100)).alias("fga"),
+        F.sum(F.rint(F.col("l_discount") * 100)).alias("fg_pct"),
         number(F.col("l_returnflag") == "A").alias("3pa"),
         number((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")).alias("3p_pct"),
         number(F.col("l_returnflag") == "N").alias("fta"),
@@ -96,6 +96,12 @@ def quotes(spark: SparkSession, folder: str) -> DataFrame:
         F.to_date("l_shipdate").alias("game_time"))
 
 
+def six_places(c):
+    """Round half away from zero at six places in primitive arithmetic; huge values, infinities and NaN the long way."""
+    quick = F.signum(c) * (F.floor(F.abs(c) * 1e6 + 0.5) / F.lit(1e6))
+    return F.when(F.abs(c) < 9e12, quick).otherwise(F.round(c, 6)) + F.lit(0.0)
+
+
 def tidy(df: DataFrame, *as_double: str) -> DataFrame:
     """Portable output types: rounded doubles, long integers, dates as text."""
     def convert(f: T.StructField):
@@ -107,7 +113,7 @@ def tidy(df: DataFrame, *as_double: str) -> DataFrame:
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
         if f.name in as_double or isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = six_places(c.cast("double"))
         return c.alias(f.name)
 
     return df.select(*[convert(f) for f in df.schema])
