@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gameline.catalog.base import BETS, GAMES, OBS, PREDICTIONS, graded, metrics, payout, r
+from gameline.catalog.base import BETS, GAMES, PREDICTIONS, graded, metrics, payout, r
 from gameline.functions import metrics as M
 from gameline.functions import odds
 from gameline.functions.metrics import aliased
 from gameline.operators import decisions, quality, latest, lines, rolling
-from gameline.plans.views import bets, game_players, games, observations, predictions, table, tidy
+from gameline.plans.views import bets, game_players, games, observations, predictions, tidy
 
 
 def backtest_bets(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gameline.catalog.base import GAMES, OBS, QUOTES, r
+from gameline.catalog.base import OBS, QUOTES, r
 from gameline.catalog.datasets import RECENT, STATE, over_under_select, recent_state
 from gameline.operators import latest, lines, overunder, rolling
 from gameline.plans.views import observations, quotes, table, tidy

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gameline.catalog.base import GAMES, OBS, r
-from gameline.operators import context, latest, lines, rolling, schedule
-from gameline.plans.views import game_players, games, observations, table, tidy
+from gameline.operators import context, latest, rolling, schedule
+from gameline.plans.views import game_players, games, observations, tidy
 
 TEAMS = GAMES + """,
 teams AS (SELECT tm, game_date, opp, sum(pts) AS tm_pts, sum(trb) AS tm_trb, sum(ast) AS tm_ast, sum(fga) AS tm_fga,
