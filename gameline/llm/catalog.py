@@ -1,7 +1,7 @@
 """The queries of this package, each with the SQL that checks it where SQL can express it."""
 
-from gameline.llm import arrow_ids, banded_jaccard, packing, radix_dedup, token_cache
+from gameline.llm import arrow_ids, banded_jaccard, mixing, packing, radix_dedup, token_cache, va_file
 
 ALL = {}
-for _part in (radix_dedup, token_cache, arrow_ids, packing, banded_jaccard):
+for _part in (mixing, va_file, radix_dedup, token_cache, arrow_ids, packing, banded_jaccard):
     ALL.update(_part.QUERIES)
