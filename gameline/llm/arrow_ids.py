@@ -36,7 +36,7 @@ LENGTH = 2048
 SEQUENCES_A_BATCH = 128
 
 MANIFEST = "part long, path string, n_ids long, n_docs long"
-FOUND = "part long, doc_id long, start_in_part long, n_tokens long, ids binary"
+FOUND = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def _schema(length: int, narrow: bool) -> pa.Schema:
@@ -68,9 +68,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     full, end = length * SEQUENCES_A_BATCH, np.array([end_id], dtype="<u4").tobytes()
     waiting, held, n_ids, n_docs, writers = [], 0, 0, 0, None
     try:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             if writers is None:
                 outs = [store.open_output_stream(fs.FileSystem.from_uri(p)[1]) for p in (path, f"{path}.index")]
                 writers = [pa.ipc.new_file(outs[0], schema), pa.ipc.new_file(outs[1], index_schema)]
@@ -136,7 +134,7 @@ class SequenceFile:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist()):
+        for base, path in zip(batch.column("base").to_pylist(), batch.column("path").to_pylist()):
             file = SequenceFile(path)
             parts, buffer = file.ids(), b""
             for docs in file.documents.to_batches(max_chunksize=1000):
@@ -149,20 +147,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     data = b"".join(pieces) if len(pieces) > 1 else buffer
                     out.append(data[:4 * n])
                     buffer = data[4 * n:]
-                yield pa.record_batch([pa.array(np.full(docs.num_rows, part)), docs.column("doc_id"),
-                                       docs.column("start"), docs.column("n_tokens"), pa.array(out, pa.binary())],
-                                      names=["part", "doc_id", "start_in_part", "n_tokens", "ids"])
+                starts = pa.array(docs.column("start").to_numpy() + base)
+                yield pa.record_batch([docs.column("doc_id"), starts, docs.column("n_tokens"), pa.array(out, pa.binary())],
+                                      names=["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, little-endian)."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select(
-        F.col("part").alias("base_part"), "base")
-    files = max(1, manifest.count())
-    found = manifest.select("part", "path").repartition(files, "part").mapInArrow(_read, FOUND)
-    return (found.join(based, F.col("part") == F.col("base_part"))
-            .select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids"))
+    based = manifest.select("part", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return based.repartition(max(1, manifest.count()), "part").mapInArrow(_read, FOUND)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
