@@ -17,8 +17,8 @@ document reach the budget, so a budget is met and overshot by less than one docu
 are ever ordered over a whole source, so a source with a third of all rows needs no large sort.
 
 ``draw`` works on ids and token counts alone and gives one row per drawn copy: id, source, ``mix_pass`` (0
-for the first copy), ``mix_block`` (place of the block in its pass) and ``mix_key`` (double in [0, 1): in
-its order every source is spread evenly over the mixture).  ``mix`` joins the documents to it.
+for the first copy), ``mix_block`` (place of the block in its pass) and ``mix_key`` (double from 0 to about 1:
+in its order every source, pass after pass, is spread evenly over the mixture).  ``mix`` joins the documents to it.
 
 A null source is a source.  A null text has no tokens.  A document without tokens is drawn with every pass
 that is drawn whole, else where it stands in its block; a source without any tokens is not drawn.  Rows with
@@ -114,7 +114,7 @@ def draw(sized: DataFrame, budget: float | None = None, entropy: float | None =
     sized = stored(sized.groupBy("id", "source").agg(F.sum("tokens").alias("tokens")), "mix-sizes")
     passes = (plan_weights(sized, budget, entropy, max_repeats).where("budget > 0")
               .withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("budget") - 1) / F.col("tokens")))))
-              .select(F.col("source").alias("_source"), "mix_pass", F.col("tokens").alias("_total"),
+              .select(F.col("source").alias("_source"), "mix_pass", F.col("tokens").alias("_total"), F.col("budget").alias("_budget"),
                       F.least("tokens", F.col("budget") - F.col("mix_pass") * F.col("tokens")).alias("_rest"),
                       F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).alias("_blocks")))
     # one row per source and pass, as many as the driver has just handed out
@@ -136,7 +136,7 @@ def draw(sized: DataFrame, budget: float | None = None, entropy: float | None =
              .where("_so_far < _left").drop("_so_far"))
     return met.where("_size <= _left").unionByName(ended).select(
         "id", "source", "tokens", "mix_pass", "mix_block",
-        ((F.col("mix_block") + F.col("_order")) / F.col("_blocks")).alias("mix_key"))
+        ((F.col("mix_pass") + (F.col("mix_block") + F.col("_order")) / F.col("_blocks")) / (F.col("_budget") / F.col("_total"))).alias("mix_key"))
 
 
 def sizes(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -185,10 +185,10 @@ plan AS (
   SELECT source, t, CAST(round(pow(t / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) * total) AS BIGINT) AS budget
   FROM src, power WHERE t > 0),
 passes AS (
-  SELECT source, t, mix_pass, least(t, budget - mix_pass * t) AS rest, greatest(1, CAST(ceil(t / {BLOCK_TOKENS}) AS BIGINT)) AS blocks
+  SELECT source, t, budget, mix_pass, least(t, budget - mix_pass * t) AS rest, greatest(1, CAST(ceil(t / {BLOCK_TOKENS}) AS BIGINT)) AS blocks
   FROM (SELECT *, unnest(range(0, (budget - 1) // t + 1)) AS mix_pass FROM plan WHERE budget > 0)),
 placed AS (
-  SELECT d.doc_id, d.source, d.tokens, mix_pass, rest, blocks, t,
+  SELECT d.doc_id, d.source, d.tokens, mix_pass, rest, blocks, t, budget,
     CAST(floor({_uniform_sql("1", "mix_pass", "doc_id")} * blocks) AS BIGINT) AS block, {_uniform_sql("1", "mix_pass", "doc_id", "'order'")} AS ord
   FROM sized d JOIN passes ON d.source IS NOT DISTINCT FROM passes.source),
 blocked AS (
@@ -199,7 +199,7 @@ met AS (
   SELECT p.*, mix_block, b.rest - before AS room, size, sum(p.tokens) OVER (PARTITION BY p.source, p.mix_pass, p.block ORDER BY ord, doc_id) - p.tokens AS so_far
   FROM placed p JOIN blocked b ON p.source IS NOT DISTINCT FROM b.source AND p.mix_pass = b.mix_pass AND p.block = b.block
   WHERE before < b.rest OR b.rest = b.t)
-SELECT doc_id, source, tokens AS n_tokens, mix_pass, mix_block, (mix_block + ord) / blocks AS mix_key
+SELECT doc_id, source, tokens AS n_tokens, mix_pass, mix_block, (mix_pass + (mix_block + ord) / blocks) / (budget / t) AS mix_key
 FROM met WHERE size <= room OR so_far < room"""
 
 QUERIES = {"op1_temperature_mix": (op1, OP1_SQL)}
