@@ -104,7 +104,7 @@ def plan_weights(sized: DataFrame, budget: float | None = None, entropy: float |
 
 def _uniform(*parts: str | Column) -> Column:
     """A number in [0, 1) from the md5 of the parts."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts])
+    text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 

@@ -130,14 +130,8 @@ def radix_sets(rows: DataFrame, group_bytes: int = GROUP_BYTES, digit: int = DIG
         depth, digit = depth + digit, digit * 4
 
 
-def duplicates(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text",
-               group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Every row with its group, and the stored rows themselves.
-
-    The first frame has row_no, doc_id, keep_id, group_size, kept and the carried columns.  The second has
-    row_no, doc_id, text and the carried columns, where text is null on some rows that do not stay.
-    """
-    carried = {f"_carry{i}": c for i, c in enumerate(carry)}
+def _grouped(docs: DataFrame, carried: dict[str, str], id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its group, and the stored rows, whose text is null on some that do not stay; ``carried``: new name to old."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
                        *[F.col(c).alias(n) for n, c in carried.items()])
@@ -151,25 +145,31 @@ def duplicates(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id
     answer = (sets.select("row_no", "set_row").join(best, "set_row")
               .select(F.col("row_no").alias("stands_for"), F.col("best.doc_id").alias("keep_id"),
                       F.col("best.row_no").alias("keep_row"), "group_size"))
-    back = [F.col(n).alias(c) for n, c in carried.items()]
     marked = named.join(answer, "stands_for").select(
-        "row_no", "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), *back)
-    return marked, named.select("row_no", "doc_id", F.col("text").cast("string").alias("text"), *back)
+        "row_no", "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), *carried)
+    return marked, named.select("row_no", F.col("text").cast("string").alias("text"), "doc_id", *carried)
+
+
+def duplicates(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text",
+               group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and the carried columns of every row."""
+    carried = {f"_carry{i}": c for i, c in enumerate(carry)}
+    marked, _ = _grouped(docs, carried, id_col, text_col, group_bytes)
+    return marked.select("doc_id", "keep_id", "group_size", "kept", *[F.col(n).alias(c) for n, c in carried.items()])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; a null text comes back empty."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked, rows = duplicates(docs, others)
-    stay = marked.where("kept").select("row_no")
-    return rows.where(F.col("text").isNotNull()).join(stay, "row_no", "left_semi").select(docs.columns)
+    carried = {f"_carry{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    marked, rows = _grouped(docs, carried, "doc_id", "text", GROUP_BYTES)
+    stay = rows.where(F.col("text").isNotNull()).join(marked.where("kept").select("row_no"), "row_no", "left_semi")
+    return stay.select("doc_id", "text", *[F.col(n).alias(c) for n, c in carried.items()]).select(docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    marked, _ = duplicates(docs.withColumn("text_sha256", digest), ["text_sha256"])
-    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return duplicates(docs.withColumn("text_sha256", digest), ["text_sha256"])
 
 
 OP5_SQL = """SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
