@@ -6,8 +6,10 @@ ordered rows of the key into chunks with exact row offsets and give each chunk t
 neighbouring rows its frames reach into, so the result is the same and no task sees more
 than about one chunk.
 
-Broadcast sizes are bounded by construction: N rows hold at most N / CHUNK_ROWS hot keys and
-at most N / SLOT_ROWS overfull (key, order value) pairs.
+Rows of one (key, order value) pair that are too many for a task are cut at approximate quantiles of
+the tie-break columns, in their order: NULL first, then numbers, infinities and NaN as a window sorts
+them, texts by their bytes.  Rows that agree in all tie-break columns stand in no order, and are dealt
+by a hash of the row.  The number of passes has a bound that does not depend on the values.
 """
 
 from __future__ import annotations
@@ -16,10 +18,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gameline.session import cut
 
 CHUNK_ROWS = 4_000_000
+PIECES = 64
+PASSES_A_KEY = 2
+TEXT_BYTES = 6
+TEXT_PARTS = 4
 
 Build = Callable[[WindowSpec], dict[str, Column]]
 
@@ -55,37 +62,68 @@ def by_heat(df: DataFrame, keys: Sequence[str], ordinary: Callable[[DataFrame],
     if found.isEmpty():
         return ordinary(df)
     found, renamed = _keyed(found.select(*keys), keys, "_hot")
-    found = F.broadcast(found)
     cond = same(keys, renamed)
     # the hot rows are read several times, so they are written once where the cluster has a folder for it
     return ordinary(df.join(found, cond, "left_anti")).unionByName(
         hot(cut(df.join(found, cond, "left_semi"))))
 
 
+def _split_keys(rows: DataFrame, seq: Sequence[str]) -> list[Column]:
+    """Doubles that ascend, not strictly, in the order of the tie-break columns, most significant first."""
+    keys, told_apart = [], True
+    for name in seq:
+        c, kind = F.col(name), rows.schema[name].dataType
+        if isinstance(kind, T.LongType):
+            keys += [F.shiftright(c, 32).cast("double"), c.bitwiseAND(0xFFFFFFFF).cast("double")]
+        elif isinstance(kind, T.BooleanType):
+            keys.append(c.cast("int").cast("double"))
+        elif isinstance(kind, T.NumericType):
+            keys.append(c.cast("double"))
+            told_apart = told_apart and not isinstance(kind, T.DecimalType)
+        elif isinstance(kind, T.DateType):
+            keys.append(F.unix_date(c).cast("double"))
+        elif isinstance(kind, T.TimestampType):
+            keys.append(F.unix_micros(c).cast("double"))
+        elif isinstance(kind, T.StringType):
+            data = c.cast("binary")
+            keys += [F.conv(F.rpad(F.hex(F.substring(data, at, TEXT_BYTES)), 2 * TEXT_BYTES, "0"), 16, 10).cast("double")
+                     for at in range(1, TEXT_BYTES * TEXT_PARTS, TEXT_BYTES)]
+            told_apart = False  # texts may differ further on
+        else:
+            told_apart = False
+        if not told_apart:
+            return keys
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [*keys, F.xxhash64(*[F.col(c) for c in plain]).cast("double")]
+
+
 def _slots(rows: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str],
            slot_rows: int) -> DataFrame:
-    """Add ``_bin``: the path of value ranges of ``seq[0]`` that holds the row, empty where none is needed.
+    """Add ``_bin``: the path of value ranges of the tie-break columns that holds the row, empty where none is needed.
 
-    A (keys, order) pair with more than ``slot_rows`` rows is cut into equal-width ranges of ``seq[0]``,
-    a range that is still too full is cut again, and so on.  Paths sort like the rows they hold.
+    A (keys, order) pair with more than ``slot_rows`` rows is cut into up to ``PIECES`` ranges, a range that is
+    still too full is cut once more, then by the next column.  Paths sort like the rows they hold.
     """
     place = [*keys, order, "_bin"]
     binned = rows.withColumn("_bin", F.array().cast("array<bigint>"))
-    x = F.col(seq[0]).cast("double")
-    while True:
-        full = (binned.groupBy(*place)
-                .agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-                .where((F.col("_n") > slot_rows) & (F.col("_hi") > F.col("_lo")))
-                .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(slot_rows)))
-                .drop("_n"))
+    points = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+    for x in [k for k in _split_keys(rows, seq) for _ in range(PASSES_A_KEY)]:
+        full = binned.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot_rows).drop("_n")
+        full, renamed = _keyed(cut(full), place, "_full")
         if full.isEmpty():
             return binned
-        full, renamed = _keyed(cut(full), place, "_full")
-        part = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces"))
-        deeper = F.concat("_bin", F.array(F.least(part, F.col("_pieces") - 1)))
-        binned = (binned.join(F.broadcast(full), same(place, renamed), "left")
-                  .withColumn("_bin", F.when(F.col("_pieces").isNotNull(), deeper).otherwise(F.col("_bin")))
-                  .drop("_lo", "_hi", "_pieces", *renamed))
+        crowded = binned.join(full, same(place, renamed), "left_semi")
+        number = F.when(~F.isnan(x), x)
+        points_of = crowded.groupBy(*place).agg(F.array_distinct(F.coalesce(
+            F.percentile_approx(number, points, F.lit(1000)), F.array().cast("array<double>"))).alias("_points"))
+        points_of, renamed = _keyed(cut(points_of), place, "_full")
+        part = (F.when(x.isNull(), F.lit(-1)).when(F.isnan(x), F.lit(PIECES))
+                .otherwise(F.size(F.filter("_points", lambda p: p <= x))))
+        deeper = F.concat("_bin", F.array(part.cast("bigint")))
+        binned = (binned.join(points_of, same(place, renamed), "left")
+                  .withColumn("_bin", F.when(F.col("_points").isNotNull(), deeper).otherwise(F.col("_bin")))
+                  .drop("_points", *renamed))
+    return binned
 
 
 def with_frames(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str], build: Build,
@@ -94,7 +132,7 @@ def with_frames(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence[st
     """Add window columns whose frames reach at most ``lookback`` rows back and ``lookahead`` forward.
 
     ``build`` gets the window (partitioned by the key, ordered by ``order`` then ``seq``) and
-    returns the new columns.  ``seq[0]`` must be numeric; ``order`` + ``seq`` should be unique per key.
+    returns the new columns.  ``order`` + ``seq`` should be unique per key.
     """
 
     def ordinary(rows: DataFrame) -> DataFrame:
