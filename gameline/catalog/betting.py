@@ -231,6 +231,7 @@ l AS (SELECT *, CASE target WHEN 'pts' THEN 0.70 WHEN 'trb' THEN 0.65 WHEN 'ast'
   CASE target WHEN 'pts' THEN 3.5 WHEN 'trb' THEN 1.5 WHEN 'ast' THEN 1.0 WHEN 'pra' THEN 5.0 ELSE 0.3 END AS low FROM x)
 SELECT target, {r('mae')}, {r('r2')}, {r('accuracy')}, 0.2::DOUBLE AS train_r2, CAST(r2 > top AS BIGINT) AS r2_too_high,
   CAST(mae < low AS BIGINT) AS mae_too_low, CAST(0.2 - r2 > 0.15 AS BIGINT) AS overfit,
+  CAST(accuracy > 0.62 AS BIGINT) AS accuracy_high, CAST(accuracy > 0.65 AS BIGINT) AS accuracy_impossible,
   CASE WHEN accuracy > 0.60 THEN 'suspicious' WHEN accuracy > 0.5238 THEN 'profitable' ELSE 'losing' END AS band FROM l"""
 
 

@@ -133,11 +133,24 @@ def top_entities(spark, sf):
 TOP_ENTITIES = f"WITH {OBS} SELECT player, count(*) AS n FROM obs GROUP BY player ORDER BY n DESC, player LIMIT 5"
 
 
+def usual_prop(spark, sf):
+    """The value that an entity shows most often."""
+    return tidy(stats.modes(observations(spark, sf), ["player"], "prop"))
+
+
+USUAL_PROP = f"""WITH {OBS}, c AS (SELECT player, prop, count(*) AS n FROM obs WHERE prop IS NOT NULL GROUP BY player, prop)
+SELECT player, prop, n FROM c QUALIFY row_number() OVER (PARTITION BY player ORDER BY n DESC, prop) = 1"""
+
+
 def seeded_sample(spark, sf):
     rolled = _rolled(spark, sf)
     return tidy(stats.seeded_sample(dataset.enough_history(rolled, 5).select("player", "seq", "value"), ["seq"], 5))
 
 
+SEEDED_SAMPLE = f"""WITH {ROLLED} SELECT player, seq, {r('value')} FROM rolled WHERE games_played >= 5
+ORDER BY md5('42|' || CAST(seq AS VARCHAR)), seq LIMIT 5"""
+
+
 def modelling_table(spark, sf):
     """Identifiers, targets and the leak-free numeric columns of the task chain."""
     df = features.task_features(games(spark, sf), game_players(spark, sf))
@@ -461,7 +474,8 @@ QUERIES = {
     "profile": (profile, PROFILE),
     "key_profile": (key_profile, KEY_PROFILE),
     "top_entities": (top_entities, TOP_ENTITIES),
-    "seeded_sample": (seeded_sample, None),
+    "seeded_sample": (seeded_sample, SEEDED_SAMPLE),
+    "usual_prop": (usual_prop, USUAL_PROP),
     "modelling_table": (modelling_table, MODELLING_TABLE),
     "feature_table": (feature_table, FEATURE_TABLE),
     "single_table": (single_table, SINGLE_TABLE),

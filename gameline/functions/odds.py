@@ -43,15 +43,10 @@ def result(side: Column, actual: Column, line: Column, push: str = "push") -> Co
 def american_profit(odds: Column, outcome: Column, stake: float = 100.0) -> Column:
     """Profit of a graded bet at American odds."""
     odds = odds.cast("double")
-    win = F.when(odds > 0, F.lit(float(stake)) * odds / 100.0).otherwise(F.lit(float(stake)) * (F.lit(100.0) / F.abs(odds)))
+    win = F.when(odds > 0, F.lit(float(stake)) * odds / 100.0).otherwise(F.lit(float(stake)) * F.try_divide(F.lit(100.0), F.abs(odds)))
     return F.when(outcome == "WIN", win).when(outcome == "LOSS", F.lit(-float(stake))).when(outcome == "PUSH", F.lit(0.0))
 
 
-def flat_profit(outcome: Column, win: float = 1.0, loss: float = 1.1) -> Column:
-    """Profit with fixed amounts: +1 on a win, -1.1 on a loss."""
-    return F.when(outcome == "WIN", F.lit(win)).when(outcome == "LOSS", F.lit(-loss)).when(outcome == "PUSH", F.lit(0.0))
-
-
 def rate_edge(prediction: Column, line: Column, over_odds: Column, under_odds: Column) -> dict[str, Column]:
     """Direction, price, strength and label of the gap between prediction and line."""
     gap = prediction - line

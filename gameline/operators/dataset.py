@@ -84,11 +84,6 @@ def require_leak_free(features: Sequence[str], target: str | None = None) -> Non
         raise ValueError("leaking features: " + "; ".join(issues))
 
 
-def unmarked_features(features: Sequence[str]) -> list[str]:
-    """Features whose name carries no mark of being historical."""
-    return [c for c in features if c != "games_played" and not any(m in c for m in HISTORY_MARKS)]
-
-
 def modelling_table(df: DataFrame, features: Sequence[str], targets: Iterable[str] = TARGETS,
                     ids: Iterable[str] = ID_COLUMNS) -> DataFrame:
     """Identifiers, then targets, then features, each sorted; absent columns are left out."""

@@ -23,6 +23,11 @@ def all_passed(checks: DataFrame) -> bool:
     return checks.where(F.col("passed") == 0).isEmpty()
 
 
+def row_check(df: DataFrame) -> DataFrame:
+    """A table must have rows."""
+    return check_table(df.agg(F.count(F.lit(1)).alias("n")), {"rows": (F.col("n"), F.col("n") > 0)})
+
+
 def clean_checks(df: DataFrame, key: Sequence[str] = ("game_id",), order="game_date", points="pts",
                  minutes="mp", share="fg_pct", max_minutes: float = 70.0) -> DataFrame:
     """Duplicate keys, missing dates, negative points, impossible minutes and percentages."""
@@ -111,6 +116,8 @@ METRIC_LIMITS = {
     "tov": (0.5, 0.55), "3p": (0.6, 0.55), "pra": (5.0, 0.75), "pr": (4.0, 0.70), "pa": (4.0, 0.70),
 }
 DEFAULT_LIMITS = (0.3, 0.80)
+# fixed values: share of right decisions above which a leak is suspected, and taken for certain
+ACCURACY_LIMITS = (0.62, 0.65)
 
 
 def metric_checks(scores: DataFrame, max_gap: float = 0.15) -> DataFrame:
@@ -127,6 +134,8 @@ def metric_checks(scores: DataFrame, max_gap: float = 0.15) -> DataFrame:
         "r2_too_high": flag(F.col("r2") > limit(1)),
         "mae_too_low": flag(F.col("mae") < limit(0)),
         "overfit": flag(F.col("train_r2") - F.col("r2") > max_gap),
+        "accuracy_high": flag(a > ACCURACY_LIMITS[0]),
+        "accuracy_impossible": flag(a > ACCURACY_LIMITS[1]),
         "band": F.when(a > 0.60, F.lit("suspicious")).when(a > 0.5238, F.lit("profitable")).otherwise(F.lit("losing")),
     })
 

@@ -116,10 +116,17 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
             .orderBy(F.desc("n"), *columns).limit(k))
 
 
+def modes(df: DataFrame, entity: Sequence[str], column: str) -> DataFrame:
+    """Most frequent value of a column for each entity; ties go to the smaller value, NULL does not count."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*entity, column).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*entity).orderBy(F.desc("n"), column)  # one row per value of an entity
+    return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by a seeded hash of their key: the same rows on every run."""
-    return (df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key]))
-            .orderBy("_h", *key).limit(n).drop("_h"))
+    """``n`` rows chosen by a seeded hash of their key: the same rows on every run and in every engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    return df.withColumn("_h", F.md5(text)).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def line_fit(df: DataFrame, x: str, y: str, train: Column) -> DataFrame:

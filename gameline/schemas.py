@@ -48,5 +48,5 @@ TRACKING = T.StructType([
 
 QUOTES_JSON = ("struct<id:string,commence_time:string,home_team:string,away_team:string,bookmakers:array<struct<"
                "key:string,markets:array<struct<key:string,outcomes:array<struct<name:string,description:string,"
-               "point:double,price:int>>>>>>>")
+               "point:double,price:double>>>>>>>")
 EVENT_JSON = "struct<id:string,home_team:string,away_team:string,commence_time:string>"

@@ -77,7 +77,7 @@ def clean_box(df: DataFrame) -> DataFrame:
     df = df.toDF(*[text.standard_name(c) for c in df.columns])
     numbers = [text.standard_name(c) for c in schemas.RAW_BOX_NUMBERS]
     return df.withColumns({
-        "game_date": F.to_date("game_date"),
+        "game_date": F.col("game_date").try_cast("date"),
         **{c: numeric.coerce(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).cast("double")
            for c in numbers if c in df.columns},
     }).withColumns({
@@ -105,7 +105,7 @@ def clean_log(df: DataFrame, opponent: str = "token") -> DataFrame:
     if opponent == "side":
         home = (home == "H").cast("double")
     out = df.withColumns({
-        "opp": opp, "is_home": home, "game_date": F.to_date("game_date"), "won": text.won("res"),
+        "opp": opp, "is_home": home, "game_date": F.col("game_date").try_cast("date"), "won": text.won("res"),
         "mp": text.minutes("mp"),
         **{c: numeric.coerce(c, 0.0) for c in counts if c in df.columns},
         **{c: numeric.coerce(c, 0.0) for c in shares}})
@@ -119,7 +119,7 @@ def box_from_log(df: DataFrame) -> DataFrame:
     """Raw game log in the columns of the raw box score, those that exist, in file order."""
     df = df.withColumnsRenamed({k: v for k, v in schemas.LOG_NAMES.items() if k in df.columns})
     df = df.withColumns({
-        "Opp": text.opponent_token("matchup_raw"), "Data": F.to_date("Data"),
+        "Opp": text.opponent_token("matchup_raw"), "Data": F.col("Data").try_cast("date"),
         **{c: numeric.coerce(c) for c in schemas.RAW_BOX_NUMBERS if c in df.columns}})
     df = df.withColumn("GmSc", numeric.game_score("PTS", "FG", "FGA", "FT", "FTA", "ORB", "DRB", "STL", "AST",
                                                   "BLK", "PF", "TOV"))
@@ -127,7 +127,10 @@ def box_from_log(df: DataFrame) -> DataFrame:
 
 
 def flatten_quotes(df: DataFrame, json: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
-    """Nested quotes to one row per player, market and book; only 'Over' outcomes with a player and a line."""
+    """Nested quotes to one row per player, market and book; only 'Over' outcomes with a player and a line.
+
+    Prices are rounded to whole odds; an absent price counts as -110.  A time that cannot be read is NULL.
+    """
     doc = df.select(*keep, F.from_json(json, schemas.QUOTES_JSON).alias("q"))
     books = doc.select(*keep, "q", F.explode("q.bookmakers").alias("b"))
     markets = books.select(*keep, "q", "b", F.explode("b.markets").alias("m"))
@@ -135,15 +138,16 @@ def flatten_quotes(df: DataFrame, json: str = "payload", keep: Sequence[str] = (
     return (rows.where((F.col("o.name") == "Over") & (F.coalesce("o.description", F.lit("")) != "")
                        & (F.coalesce("o.point", F.lit(0.0)) != 0.0))
             .select(*keep, F.col("o.description").alias("player"), F.col("m.key").alias("market"),
-                    F.col("o.point").alias("line"), F.coalesce("o.price", F.lit(-110)).alias("odds"),
-                    F.col("b.key").alias("book"), F.to_timestamp("q.commence_time").alias("game_time"),
+                    F.col("o.point").alias("line"), F.coalesce(F.round("o.price").try_cast("int"), F.lit(-110)).alias("odds"),
+                    F.col("b.key").alias("book"), F.col("q.commence_time").try_cast("timestamp").alias("game_time"),
                     F.coalesce("q.home_team", F.lit("")).alias("home"),
                     F.coalesce("q.away_team", F.lit("")).alias("away")))
 
 
 def events_on(df: DataFrame, run_date: Column, json: str = "payload") -> DataFrame:
     """Scheduled events of the run date with their local start time as text."""
-    e = df.select(F.from_json(json, schemas.EVENT_JSON).alias("e")).withColumn("_t", F.to_timestamp("e.commence_time"))
+    e = df.select(F.from_json(json, schemas.EVENT_JSON).alias("e")).withColumn(
+        "_t", F.col("e.commence_time").try_cast("timestamp"))
     return (e.where(F.to_date("_t") == run_date)
             .select(F.col("e.home_team").alias("home"), F.col("e.away_team").alias("away"),
                     F.date_format("_t", "hh:mm a").alias("time"), F.col("e.id").alias("event_id")))

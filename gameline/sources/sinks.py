@@ -20,8 +20,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
 
 
 def write_run(df: DataFrame, path: str, run_date: Column) -> None:
-    """Write one run's rows under its date."""
-    write_table(df.withColumn("run_date", run_date), path, ["run_date"])
+    """Write one run's rows under its date, in place of any earlier rows of that date, also when there are none."""
+    day = df.sparkSession.range(1).select(run_date.cast("date").cast("string")).first()[0]
+    write_table(df.drop("run_date"), f"{path}/run_date={day}")
 
 
 def read_latest_run(spark: SparkSession, path: str) -> DataFrame:

@@ -120,3 +120,30 @@ def test_variants(spark, data):
     seasons = features.seasons_features(games)
     assert seasons.count() == n
     assert seasons.where(F.col("opp_pts_allowed_l10").isNull() | F.col("opp_pts_allowed_rank").isNull()).isEmpty()
+
+
+def test_bad_text_and_prices_do_not_stop_a_read(spark):
+    quote = ('{"commence_time": "%s", "home_team": "H", "bookmakers": [{"key": "b1", "markets": [{"key": "m1", "outcomes": ['
+             '{"name": "Over", "description": "P", "point": 1.5, "price": 150.6}, {"name": "Over", "description": "Q", "point": 2.5},'
+             '{"name": "Under", "description": "P", "point": 1.5, "price": 1}]}, {"key": "m2", "outcomes": []}]},'
+             '{"key": "b2", "markets": [{"key": "m1", "outcomes": [{"name": "Over", "description": "P", "point": 3.5, "price": -120}]}]}]}')
+    docs = spark.createDataFrame([(quote % "2025-01-02T03:04:05Z",), (quote % "soon",)], "payload string")
+    got = feeds.flatten_quotes(docs).collect()
+    assert sorted((r.player, r.book, r.odds) for r in got) == sorted(2 * [("P", "b1", 151), ("Q", "b1", -110), ("P", "b2", -120)])
+    assert sorted(r.game_time is None for r in got) == 3 * [False] + 3 * [True]
+    events = spark.createDataFrame([('{"id": "1", "commence_time": "bad"}',), ('{"id": "2", "commence_time": "2025-01-02T03:00:00Z"}',)],
+                                   "payload string")
+    assert [r.event_id for r in feeds.events_on(events, F.lit("2025-01-02").cast("date")).collect()] == ["2"]
+
+
+def test_empty_rerun_replaces_the_day(spark, tmp_path):
+    path, day = str(tmp_path / "runs"), F.lit("2025-01-02").cast("date")
+    sinks.write_run(spark.range(3), path, day)
+    sinks.write_run(spark.range(2), path, F.lit("2025-01-01").cast("date"))
+    sinks.write_run(spark.range(0), path, day)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_empty_table_does_not_pass(spark):
+    assert not quality.all_passed(quality.row_check(spark.range(0)))
+    assert quality.all_passed(quality.row_check(spark.range(1)))
