@@ -303,8 +303,11 @@ def over_under_features(spark, sf):
     return tidy(out.select("player", "seq", "went_over", *[F.col(c).cast("double") for c in overunder.OVER_UNDER_FEATURES]))
 
 
-def over_under_select(source: str, median: str, lead: str) -> str:
-    """The feature expressions over rows with: line gaps a, b, c; variance v; ratio q; b2b, hm, dr, ml, gd."""
+def over_under_select(source: str, median: str, lead: str, known: dict[str, str] | None = None) -> str:
+    """The feature expressions over rows with: line gaps a, b, c; variance v; ratio q; b2b, hm, dr, ml, gd.
+
+    Without ``known`` the rows have no opponent and no history; it replaces the expressions that need them.
+    """
     zero = ["matchup_edge", "recent_matchup_edge", "has_matchup_history", "strong_matchup_history", "matchup_games",
             "strong_matchup_over", "strong_matchup_under", "favorable_vs_opp", "unfavorable_vs_opp",
             "good_matchup_x_hot", "bad_matchup_x_cold", "good_matchup_rested", "bad_matchup_tired",
@@ -319,7 +322,7 @@ def over_under_select(source: str, median: str, lead: str) -> str:
         "is_consistent": "(v < med)::INT", "consistent_above_line": "(v < med AND a > 0)::INT", "mins_load": "ml",
         "high_usage": "(ml > 0.9)::INT", "games_density": "gd", "heavy_schedule": "(gd > 0.75)::INT",
         "compound_fatigue": "b2b * (gd > 0.75)::INT * (ml > 0.9)::INT", "trend_sq": "t * t", "variance_sq": "v * v",
-        "edge_sq": "a * a", **{z: "0.0" for z in zero}}
+        "edge_sq": "a * a", **{z: "0.0" for z in zero}, **(known or {})}
     return f"""SELECT {lead}, {", ".join(r(e[n], n) for n in overunder.OVER_UNDER_FEATURES)}
 FROM (SELECT *, b - c AS t, {median} AS med FROM {source})"""
 
@@ -338,6 +341,37 @@ x AS (SELECT player, seq, pts, l10 + 0.5 AS line, l10 - (l10 + 0.5) AS a, l5 - (
 {over_under_select('x', '(SELECT median(v) FROM x)', 'player, seq, CAST(pts > line AS BIGINT) AS went_over')}"""
 
 
+def over_under_full(spark, sf):
+    """The 47 features with opponent ranks and matchup history on the rows, against a half-point line by the long mean."""
+    g = features.task_features(games(spark, sf), game_players(spark, sf))
+    g = features.with_history(g, bound=game_players(spark, sf))
+    out = overunder.over_under_features(dataset.enough_history(g, 5), "pts", F.floor("pts_l20") + 0.5, F.col("pts"))
+    return tidy(out.select("player", "seq", "went_over", *[F.col(c).cast("double") for c in overunder.OVER_UNDER_FEATURES]))
+
+
+_OVER, _UNDER = "mg >= 3 AND me > 3", "mg >= 3 AND me < -3"
+_MET = {
+    "easy_matchup": "em", "hard_matchup": "1 - em", "matchup_edge": "me", "recent_matchup_edge": "rme",
+    "has_matchup_history": "(mg >= 2)::INT", "strong_matchup_history": "(mg >= 3)::INT", "matchup_games": "mg",
+    "matchup_edge_vs_line": "me - a", "strong_matchup_over": f"({_OVER})::INT", "strong_matchup_under": f"({_UNDER})::INT",
+    "favorable_vs_opp": "(mg >= 2 AND me > 2.5)::INT", "unfavorable_vs_opp": "(mg >= 2 AND me < -2.5)::INT",
+    "easy_x_hot": "em * (q > 1)::INT", "hard_x_cold": "(1 - em) * (q < 1)::INT",
+    "good_matchup_x_hot": f"({_OVER} AND t > 0)::INT", "bad_matchup_x_cold": f"({_UNDER} AND t < 0)::INT",
+    "good_matchup_rested": f"({_OVER} AND dr >= 2)::INT", "bad_matchup_tired": f"({_UNDER})::INT * b2b",
+    "matchup_reliability": "me / (v + 1)", "matchup_edge_sq": "me * me"}
+OVER_UNDER_FULL = f"""WITH {RANKED}, {SCHEDULE}, {RECENT[RECENT.index("g AS (SELECT"):]},
+h AS (SELECT a.player, a.seq, count(*) FILTER (p.opp = a.opp) AS mg, avg(p.pts) FILTER (p.opp = a.opp) AS vs, avg(p.pts) AS usual,
+        list_avg(list_slice(list(p.pts ORDER BY p.game_date, p.seq) FILTER (p.opp = a.opp), -3, -1)) AS lately
+      FROM games a LEFT JOIN games p ON p.player = a.player AND p.game_date < a.game_date GROUP BY a.player, a.seq),
+x AS (SELECT g.player, g.seq, pts, floor(l20) + 0.5 AS line, l10 - (floor(l20) + 0.5) AS a, l5 - (floor(l20) + 0.5) AS b, l20 - (floor(l20) + 0.5) AS c, {STATE},
+        coalesce(rk.pts_allowed_rank, 15) / 30.0::DOUBLE AS em, mg, CASE WHEN mg >= 2 THEN coalesce(vs - usual, 0) ELSE 0 END AS me,
+        CASE WHEN mg >= 2 THEN coalesce(lately - usual, 0) ELSE 0 END AS rme
+      FROM g JOIN h ON g.player = h.player AND g.seq = h.seq
+      LEFT JOIN sched sc ON sc.tm = g.tm AND sc.game_date = g.game_date
+      LEFT JOIN ranked rk ON rk.tm = g.opp AND rk.game_date = g.game_date AND rk.opp = g.tm WHERE games_played >= 5)
+{over_under_select('x', '(SELECT median(v) FROM x)', 'player, seq, CAST(pts > line AS BIGINT) AS went_over', _MET)}"""
+
+
 def linear_sanity(spark, sf):
     rolled = _rolled(spark, sf).where(F.col("value_l5").isNotNull())
     split = dataset.position_split(rolled, "game_date", ["seq"], 0.8)
@@ -482,6 +516,7 @@ QUERIES = {
     "seasons_table": (seasons_table, SEASONS_TABLE),
     "line_proxies": (line_proxies, LINE_PROXIES),
     "over_under_features": (over_under_features, OVER_UNDER),
+    "over_under_full": (over_under_full, OVER_UNDER_FULL),
     "linear_sanity": (linear_sanity, LINEAR_SANITY),
     "dq_clean": (dq_clean, DQ_CLEAN),
     "leak_check": (leak_check, LEAK_CHECK),
