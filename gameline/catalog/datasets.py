@@ -342,10 +342,10 @@ x AS (SELECT player, seq, pts, l10 + 0.5 AS line, l10 - (l10 + 0.5) AS a, l5 - (
 
 
 def over_under_full(spark, sf):
-    """The 47 features with opponent ranks and matchup history on the rows, against a half-point line by the long mean."""
+    """The 47 features with opponent ranks and matchup history on the rows, against a half-point line by the short mean."""
     g = features.task_features(games(spark, sf), game_players(spark, sf))
     g = features.with_history(g, bound=game_players(spark, sf))
-    out = overunder.over_under_features(dataset.enough_history(g, 5), "pts", F.floor("pts_l20") + 0.5, F.col("pts"))
+    out = overunder.over_under_features(dataset.enough_history(g, 5), "pts", F.floor("pts_l5") + 0.5, F.col("pts"))
     return tidy(out.select("player", "seq", "went_over", *[F.col(c).cast("double") for c in overunder.OVER_UNDER_FEATURES]))
 
 
@@ -363,7 +363,7 @@ OVER_UNDER_FULL = f"""WITH {RANKED}, {SCHEDULE}, {RECENT[RECENT.index("g AS (SEL
 h AS (SELECT a.player, a.seq, count(*) FILTER (p.opp = a.opp) AS mg, avg(p.pts) FILTER (p.opp = a.opp) AS vs, avg(p.pts) AS usual,
         list_avg(list_slice(list(p.pts ORDER BY p.game_date, p.seq) FILTER (p.opp = a.opp), -3, -1)) AS lately
       FROM games a LEFT JOIN games p ON p.player = a.player AND p.game_date < a.game_date GROUP BY a.player, a.seq),
-x AS (SELECT g.player, g.seq, pts, floor(l20) + 0.5 AS line, l10 - (floor(l20) + 0.5) AS a, l5 - (floor(l20) + 0.5) AS b, l20 - (floor(l20) + 0.5) AS c, {STATE},
+x AS (SELECT g.player, g.seq, pts, floor(l5) + 0.5 AS line, l10 - (floor(l5) + 0.5) AS a, l5 - (floor(l5) + 0.5) AS b, l20 - (floor(l5) + 0.5) AS c, {STATE},
         coalesce(rk.pts_allowed_rank, 15) / 30.0::DOUBLE AS em, mg, CASE WHEN mg >= 2 THEN coalesce(vs - usual, 0) ELSE 0 END AS me,
         CASE WHEN mg >= 2 THEN coalesce(lately - usual, 0) ELSE 0 END AS rme
       FROM g JOIN h ON g.player = h.player AND g.seq = h.seq
