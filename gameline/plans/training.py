@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gameline.functions import metrics
 from gameline.functions.metrics import aliased
 from gameline.operators import dataset, decisions, overunder, quality, stats
-from gameline.session import can_checkpoint
+from gameline.session import use_checkpoint_folder
 
 SEED = 42
 
@@ -227,7 +227,7 @@ def train_regression(df: DataFrame, target: str, features: Sequence[str], line:
     aside for the choice.  Returns the bundle and the predictions of the test rows.
     """
     dataset.require_leak_free([f for f in features], None)
-    can_checkpoint(df.sparkSession)
+    use_checkpoint_folder(df.sparkSession)
     rows = df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
     with kept(dataset.temporal_split(rows, test_days, order)) as marked:
         past, test = marked.where("is_test = 0").drop("is_test"), marked.where("is_test = 1").drop("is_test")
@@ -283,7 +283,7 @@ def train_classifier(df: DataFrame, prop: str, line: str | None = None, test_day
     ``df`` holds the feature table with the target ``prop`` and its line column.  Returns nothing when
     fewer than ``min_rows`` complete rows exist, else the bundle and the scored test rows.
     """
-    can_checkpoint(df.sparkSession)
+    use_checkpoint_folder(df.sparkSession)
     line = line or f"{prop}_line"
     base = df.where(F.col(prop).isNotNull() & F.col(line).isNotNull())
     below = _one_row(stats.exact_medians(base.select(F.coalesce(
@@ -339,10 +339,16 @@ def importances(bundle: Bundle, spark: SparkSession, top: int = 5) -> DataFrame:
             .orderBy(F.abs("weight").desc(), "feature").limit(top))
 
 
+def _present(df: DataFrame, features: Sequence[str]) -> None:
+    missing = sorted(set(features) - set(df.columns))
+    if missing:
+        raise ValueError(f"features are missing: {missing}")
+
+
 def minutes_folds(df: DataFrame, target: str, features: Sequence[str], k: int = 5, least: int = 5, trees: int = 200,
                   order: str = "game_date", seq: Sequence[str] = ("seq",)) -> DataFrame:
     """Time-ordered validation of the minutes model: one row per fold with sizes and errors."""
-    features = [f for f in features if f in df.columns]
+    _present(df, features)
     usable = dataset.enough_history(df.where(F.col(target).isNotNull()), least)
     usable = usable.withColumn("label", F.col(target).cast("double"))
     spark, rows = df.sparkSession, []
@@ -371,8 +377,8 @@ def train_minutes(df: DataFrame, target: str = "mp", features: Sequence[str] = M
 
     ``target`` is ``mp`` for the current event or a ``lead`` column for the next one.
     """
-    can_checkpoint(df.sparkSession)
-    features = [f for f in features if f in df.columns]
+    use_checkpoint_folder(df.sparkSession)
+    _present(df, features)
     usable = dataset.enough_history(df.where(F.col(target).isNotNull()), least)
     usable = usable.withColumn("label", F.col(target).cast("double"))
     with kept(dataset.temporal_split(usable, test_days, order)) as marked:

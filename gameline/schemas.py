@@ -30,22 +30,10 @@ LOG_DROPPED = ["SEASON_ID", "PLAYER_ID", "TEAM_ID", "TEAM_NAME", "GAME_ID", "VID
                "NBA_FANTASY_PTS", "DD2", "TD3", "WNBA_FANTASY_PTS", "PLUS_MINUS"]
 RAW_LOG = _struct(list(LOG_NAMES))
 
-LINES = _struct(["player", "prop"], ["line"], [
-    T.StructField("over_odds", T.IntegerType()), T.StructField("under_odds", T.IntegerType()),
-    T.StructField("book", T.StringType())])
-
 PREDICTIONS = T.StructType([
     T.StructField("player", T.StringType()), T.StructField("game_date", T.DateType()),
     T.StructField("actual", _DOUBLE), T.StructField("predicted", _DOUBLE), T.StructField("line", _DOUBLE)])
 
-TRACKING = T.StructType([
-    T.StructField("date", T.DateType()), T.StructField("locked_time", T.TimestampType()),
-    T.StructField("player", T.StringType()), T.StructField("prop", T.StringType()),
-    T.StructField("bet_direction", T.StringType()), T.StructField("vegas_line", _DOUBLE),
-    T.StructField("prediction", _DOUBLE), T.StructField("edge", _DOUBLE), T.StructField("edge_abs", _DOUBLE),
-    T.StructField("confidence", T.StringType()), T.StructField("odds", T.IntegerType()),
-    T.StructField("actual", _DOUBLE), T.StructField("result", T.StringType()), T.StructField("profit", _DOUBLE)])
-
 QUOTES_JSON = ("struct<id:string,commence_time:string,home_team:string,away_team:string,bookmakers:array<struct<"
                "key:string,markets:array<struct<key:string,outcomes:array<struct<name:string,description:string,"
                "point:double,price:double>>>>>>>")

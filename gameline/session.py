@@ -37,8 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return tune(spark)
 
 
-def can_checkpoint(spark: SparkSession) -> bool:
-    """True when the session names a shared folder for checkpoints."""
+def use_checkpoint_folder(spark: SparkSession) -> bool:
+    """Set the folder for checkpoints that the session names; says whether there is one."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return True
     folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -52,4 +52,4 @@ def cut(df):
 
     Without such a folder the frame keeps its lineage, which is always recoverable.
     """
-    return df.checkpoint() if can_checkpoint(df.sparkSession) else df
+    return df.checkpoint() if use_checkpoint_folder(df.sparkSession) else df

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gameline.catalog.models import feature_rows, inputs
-from gameline.operators import dataset, lines, rolling
+from gameline.operators import dataset, lines, rolling, schedule
 from gameline.plans import daily, training, views
 
 
@@ -77,7 +77,11 @@ def test_validation_days_choose(rows):
 
 
 def test_minutes_fit_on_older_rows(spark):
-    g = rolling.rolling_features(views.games(spark, "/root/testdata/sf0.01"), rolling.spec_task())
+    raw = views.games(spark, "/root/testdata/sf0.01")
+    g = rolling.rolling_features(raw, rolling.spec_task())
+    with pytest.raises(ValueError):
+        training.train_minutes(g, trees=2)  # without the schedule
+    g = schedule.attach_schedule(g, schedule.team_schedule(raw))
     bundle = training.train_minutes(g, trees=2)
     assert {"mae", "train_mae", "baseline_mae"} <= set(bundle.metrics)
     p = training.predicted_minutes(g, bundle)
