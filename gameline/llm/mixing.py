@@ -37,7 +37,7 @@ from gameline.llm.common import stored, table
 
 ENTROPY = 0.97
 MAX_REPEATS = 4.0
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 300_000
 STEPS = 60
 
 
