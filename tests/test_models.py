@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gameline.catalog.models import feature_rows, inputs
 from gameline.operators import dataset, lines, rolling, schedule
 from gameline.plans import daily, training, views
+from gameline.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -102,7 +103,7 @@ def test_daily_run_writes_outputs(spark, rows, tmp_path):
     total = run.summary.first()
     assert total.total_players == run.players.count()
     assert spark.read.parquet(str(tmp_path / "opportunities")).count() == total.total_opportunities
-    assert spark.read.json(str(tmp_path / "summary")).first().total_players == total.total_players
+    assert sinks.read_latest_run(spark, str(tmp_path / "summary")).first().total_players == total.total_players
     games = rows.limit(1).select(F.col("tm").alias("home"), F.col("opp").alias("away"))
     coming = daily.run_daily(rows, models, day, games=games, min_minutes=0.0)
     assert coming.players.select("team").distinct().count() <= 2
