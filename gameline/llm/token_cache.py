@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gameline.llm.common import new_folder, table, texts
+from gameline.llm.common import new_folder, stored, table, texts
 from gameline.llm.encoding import encoder, tokenizer_path
 
 CACHE = "tokenizer_digest string, content_digest binary, n_tokens long"
@@ -62,7 +62,9 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, id_c
     (new.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens")
      .write.mode("append").parquet(cache))
     sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
-    return (sized.join(read_cache(spark, cache, version), "content_digest", "left")
+    # a plain table on this side lets Spark split a digest that many rows share
+    known = stored(read_cache(spark, cache, version), "known-counts")
+    return (sized.join(known, "content_digest", "left")
             .select("doc_id", "n_bytes", "n_tokens", "content_digest"))
 
 
