@@ -5,17 +5,18 @@ space, is followed by one space; a line feed is the end token of a document.
 
 The tree.  A context is a string of up to ``DEPTH`` bytes.  One pass counts, for every position, the byte
 and the ``DEPTH`` bytes before it; counts of shorter contexts are sums of these.  A context s is retained
-if it makes up at least ``LEAST_SHARE`` of all positions and its next bytes diverge from those after its
-longest proper suffix by ``DIVERGENCE`` bits or more (Kullback-Leibler).  At most 1 / LEAST_SHARE contexts
-of each length can pass, whatever the corpus, and that bounds the model sent to the tasks.  Next-byte
+if it occurs at least ``LEAST_COUNT`` times, whatever the size of the corpus, and its next bytes diverge from
+those after its longest proper suffix by ``DIVERGENCE`` bits or more (Kullback-Leibler).  Next-byte
 distributions are smoothed towards the longest retained proper suffix (Witten-Bell), at the root towards
-all bytes alike.  Scoring uses the longest retained suffix of what has been read, by an automaton over the
-prefixes of all contexts that walks many places of a batch at the same time.
+all bytes alike.  Scoring uses the longest retained suffix of what has been read.
 
 Word frequencies.  A token's probability is ``TREE_WEIGHT`` times its bytes' under the tree plus the rest
-times its add-one-half frequency among all training tokens, a table that grows with the corpus and is never
-sent whole to a task: documents are dealt into blocks, the distinct tokens of each block are joined to the
-table, and the block gets the counts of its own tokens.  Tokens are known by 64-bit hashes.
+times its add-one-half frequency among all training tokens.  Tokens are known by 64-bit hashes.
+
+Contexts and word frequencies are tables that grow with the corpus and are never sent whole to a task:
+documents are dealt into blocks, the distinct tokens and contexts of each block are joined to the tables,
+and the block gets the counts of its own.  A retained suffix of a context that a block meets is met at the
+same place, so a block's contexts are all that its distributions need.
 
 Training texts are those whose crc32 of the id, modulo 5, is not 1.  Null and empty texts have the end token
 only.  Repeated rows are scored, and learned from, each.  Without training texts all counts are 0.
@@ -32,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gameline.llm.common import fold, new_folder, stored, table, texts
+from gameline.llm.common import fold, stored, table, texts
 
-DEPTH = 5
-LEAST_SHARE = 1e-5
+DEPTH = 7  # with the next byte a number of 64 bits
+LEAST_COUNT = 10
 DIVERGENCE = 0.01
 TREE_WEIGHT = 0.5
 BLOCK_BYTES = 24 << 20
 CHUNK_BYTES = 2 << 20
-LANES = 2048
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(_SPACE + bytes(range(65, 91)), b"\x20" * len(_SPACE) + bytes(range(97, 123)))
@@ -94,13 +94,27 @@ class Tokens:
 
     def grams(self) -> np.ndarray:
         """For each byte after ``_START``: the ``DEPTH`` bytes before it, 0 where there are none, and itself, as one number."""
-        padded = np.concatenate([np.zeros(DEPTH, dtype=np.uint64), self.data.astype(np.uint64)])
-        n = len(self.data) - len(_START)
-        out = np.zeros(n, dtype=np.uint64)
-        for i in range(DEPTH + 1):
-            at = len(_START) + i
-            out = (out << np.uint64(8)) | padded[at:at + n]
-        return out
+        return _grams(self.data)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    padded = np.concatenate([np.zeros(DEPTH, dtype=np.uint64), data.astype(np.uint64)])
+    n = len(data) - len(_START)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(DEPTH + 1):
+        at = len(_START) + i
+        out = (out << np.uint64(8)) | padded[at:at + n]
+    return out.view(np.int64)
+
+
+def _suffixes(contexts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, number) of the suffixes of contexts of ``DEPTH`` bytes, shortest first; a number has the length in its top byte."""
+    for length in range(DEPTH + 1):
+        yield length, (contexts & np.int64((1 << (8 * length)) - 1)) | np.int64(length << 56)
+
+
+def _contexts(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) >> np.uint64(8)).view(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +135,11 @@ class _Counter:
         self.keys, self.counts, self.bound = [], [], bound
         self.held = 0
 
-    def add(self, values: np.ndarray) -> None:
-        keys, counts = np.unique(values, return_counts=True)
+    def add(self, values: np.ndarray, n: np.ndarray | None = None) -> None:
+        if n is None:
+            keys, counts = np.unique(values, return_counts=True)
+        else:
+            keys, counts = values, n
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
@@ -130,7 +147,7 @@ class _Counter:
             self.merge()
 
     def merge(self) -> None:
-        if len(self.keys) > 1:
+        if self.keys:
             keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
             self.keys, self.counts = [keys], [np.bincount(back, np.concatenate(self.counts)).astype(np.int64)]
             self.held = len(keys)
@@ -142,36 +159,38 @@ class _Counter:
         return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): counts of token hashes (0) and of byte strings (1) in a task's texts."""
-    kinds = (_Counter(), _Counter())
+def _count(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    """(key, n): counts of token hashes (0) or of byte strings (1) in a task's texts."""
+    counter = _Counter()
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for kind, counter in enumerate(kinds):
-            keys, counts = counter.drain()
-            for at in range(0, len(keys), 200_000):
-                k = keys[at:at + 200_000]
-                yield pa.record_batch([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k.view(np.int64)),
-                                       pa.array(counts[at:at + 200_000].astype(np.int64))], names=["kind", "key", "n"])
+        keys, counts = counter.drain()
+        for at in range(0, len(keys), 200_000):
+            yield pa.record_batch([pa.array(keys[at:at + 200_000].view(np.int64)), pa.array(counts[at:at + 200_000].astype(np.int64))],
+                                  names=["key", "n"])
 
     for chunk in _chunks(batches):
         tokens = Tokens.of(chunk.column("text").to_pylist())
-        kinds[0].add(tokens.hashes())
-        kinds[1].add(tokens.grams())
-        if any(c.held > c.bound // 2 for c in kinds):
-            yield from rows()
+        counter.add(tokens.grams() if kind else tokens.hashes())
+        if counter.held > counter.bound // 2:
+            counter.merge()
+            if counter.held > counter.bound // 2:
+                yield from rows()
     yield from rows()
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key): the distinct tokens of each block, whose rows come one after the other."""
-    now, counter = None, _Counter(2_000_000)
+    """(block, kind, key): the distinct tokens (0) and contexts (1) of each block, whose rows come one after the other."""
+    now, tokens, contexts = None, _Counter(2_000_000), _Counter(2_000_000)
 
     def rows(block: int) -> Iterator[pa.RecordBatch]:
-        keys, _ = counter.drain()
-        for at in range(0, len(keys), 200_000):
-            k = keys[at:at + 200_000].view(np.int64)
-            yield pa.record_batch([pa.array(np.full(len(k), block)), pa.array(k)], names=["block", "key"])
+        longest, _ = contexts.drain()
+        found = [(0, tokens.drain()[0].view(np.int64)), *((1, np.unique(k)) for _, k in _suffixes(longest.view(np.int64)))]
+        for kind, keys in found:
+            for at in range(0, len(keys), 200_000):
+                k = keys[at:at + 200_000]
+                yield pa.record_batch([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k)],
+                                      names=["block", "kind", "key"])
 
     for chunk in _chunks(batches):
         blocks = chunk.column("block").to_numpy()
@@ -180,44 +199,69 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is not None and blocks[a] != now:
                 yield from rows(now)
             now = int(blocks[a])
-            counter.add(Tokens.of(chunk.slice(a, b - a).column("text").to_pylist()).hashes())
+            some = Tokens.of(chunk.slice(a, b - a).column("text").to_pylist())
+            tokens.add(some.hashes())
+            contexts.add(_contexts(some.grams()))
     if now is not None:
         yield from rows(now)
 
 
+@dataclass
+class Contexts:
+    """Retained contexts that some texts meet: sorted numbers, positions and kinds of next bytes; counts by context and byte."""
+
+    keys: np.ndarray
+    positions: np.ndarray
+    kinds: np.ndarray
+    nexts: np.ndarray  # place of the context times 256, plus the byte
+    counts: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, kinds: np.ndarray, packed: np.ndarray) -> Contexts:
+        """From contexts, how many next bytes each has, and these times 2**48 plus their counts."""
+        order = np.argsort(keys)
+        place = np.empty(len(keys), dtype=np.int64)
+        place[order] = np.arange(len(keys))
+        owner, n = np.repeat(place, kinds), packed & np.int64((1 << 48) - 1)
+        nexts = owner * 256 + (packed >> np.int64(48))
+        inner = np.argsort(nexts)
+        return Contexts(keys[order], np.bincount(owner, n, len(keys)), kinds[order].astype(np.float64), nexts[inner], n[inner])
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram under the longest retained suffix of the bytes before it."""
+        distinct, back = np.unique(grams, return_inverse=True)
+        byte = distinct & np.int64(255)
+        p = np.full(len(distinct), 1 / 256)
+        if len(self.keys):
+            for _, key in _suffixes(_contexts(distinct)):
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                met = np.flatnonzero(self.keys[at] == key)
+                at = at[met]
+                wanted = at * 256 + byte[met]
+                near = np.minimum(np.searchsorted(self.nexts, wanted), len(self.nexts) - 1)
+                n = np.where(self.nexts[near] == wanted, self.counts[near], 0)
+                p[met] = (n + self.kinds[at] * p[met]) / (self.positions[at] + self.kinds[at])
+        return np.log10(p)[back]
+
+
 @dataclass
 class SuffixTree:
-    """The automaton: next state and log10 probability by state and symbol, and the symbol of each byte."""
+    """The retained contexts as a table: key, and nexts, the next bytes times 2**48 plus their counts."""
+
+    table: DataFrame
 
-    symbol: np.ndarray
-    step: np.ndarray
-    log10p: np.ndarray
-    contexts: int
+    @property
+    def contexts(self) -> int:
+        return self.table.count()
 
     def logs(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after the first len(_START), given the bytes before it."""
-        symbols = self.symbol[data]
-        n = len(data) - len(_START)
-        if n <= 0:
-            return np.empty(0)
-        length = -(-n // LANES)
-        warm = DEPTH
-        # lanes of equal length; each first walks the few bytes before its own to reach its state
-        padded = np.concatenate([np.zeros(warm, dtype=symbols.dtype), symbols, np.zeros(length * LANES - n, dtype=symbols.dtype)])
-        first = np.arange(LANES) * length + len(_START)
-        state = np.zeros(LANES, dtype=np.int64)
-        width = self.step.shape[1]
-        step, log10p = self.step.ravel(), self.log10p.ravel()
-        for i in range(warm):
-            inside = first + i >= warm  # before the stream the state stays the root
-            moved = step[state * width + padded[first + i]]
-            state = np.where(inside, moved, state)
-        out = np.empty((length, LANES), dtype=np.float32)
-        for i in range(length):
-            at = state * width + padded[first + warm + i]
-            out[i] = log10p[at]
-            state = step[at].astype(np.int64)
-        return out.T.ravel()[:n]
+        """log10 probability of each byte after the first len(_START) of one short stream, on the driver."""
+        grams = _grams(data)
+        met = np.unique(np.concatenate([k for _, k in _suffixes(_contexts(grams))]))
+        asked = self.table.sparkSession.createDataFrame([(int(k),) for k in met], "key long")
+        rows = self.table.join(asked, "key").collect()  # at most DEPTH + 1 contexts a byte of the stream
+        return Contexts.of(np.array([r.key for r in rows], dtype=np.int64), np.array([len(r.nexts) for r in rows], dtype=np.int64),
+                           np.array([x for r in rows for x in r.nexts], dtype=np.int64)).logs(grams)
 
 
 def _distributions(rows: list[tuple[int, int, int, int]]) -> dict[bytes, np.ndarray]:
@@ -234,84 +278,117 @@ def _distributions(rows: list[tuple[int, int, int, int]]) -> dict[bytes, np.ndar
     return out
 
 
-def build_tree(rows: list[tuple[int, int, int, int]]) -> SuffixTree:
-    """The automaton over all prefixes of the retained contexts."""
-    known = _distributions(rows)
-    nodes = {b"": 0}
-    for s in sorted(known, key=len):
-        for i in range(1, len(s) + 1):
-            nodes.setdefault(s[:i], len(nodes))
-    seen = sorted({b for s in nodes for b in s} | {r[2] for r in rows})
-    symbol = np.full(256, len(seen), dtype=np.int64)  # the last symbol stands for all other bytes
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    step, log10p = np.zeros((len(nodes), width), dtype=np.int32), np.zeros((len(nodes), width), dtype=np.float32)
-    others = np.setdiff1d(np.arange(256), seen)
-    for s, node in sorted(nodes.items(), key=lambda x: len(x[0])):
-        p = next(known[s[i:]] for i in range(len(s) + 1) if s[i:] in known)
-        rest = p[others].max() if len(others) else 1e-12  # all unseen bytes have the same probability
-        log10p[node] = np.log10(np.append(p[seen], rest))
-        if s:  # where a longer context does not go on, its longest proper suffix in the automaton does
-            step[node] = step[next(nodes[s[i:]] for i in range(1, len(s) + 1) if s[i:] in nodes)]
-        for k, b in enumerate(seen):
-            child = nodes.get(s + bytes([b]))
-            if child is not None:
-                step[node, k] = child
-    return SuffixTree(symbol, step, log10p, len(known))
-
-
-def retained(grams: DataFrame, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> DataFrame:
+_NEXT = "transform(nexts, x -> named_struct('byte', CAST(shiftright(x, 48) AS INT), 'n', x & 281474976710655L))"
+
+
+#: Lengths of contexts that are judged together, longest first; the nearest bytes in common say which task does it.
+_STEPS = ((DEPTH, 4), (4, 2), (2, 0))
+
+
+def _judge(batches: Iterator[pa.RecordBatch], longest: int, shortest: int, least: float, divergence: float) -> Iterator[pa.RecordBatch]:
+    """Retained contexts longer than ``shortest``, from all byte strings (key, n) that share their nearest ``shortest`` bytes.
+
+    Sums for the next step have length -1, the byte string as context and the count as nexts; the last step gives the root.
+    """
+    held = _Counter()
+    for batch in batches:
+        held.add(batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy())
+    g, n = held.drain()
+    eight, low = np.uint64(8), np.uint64(255)
+
+    def given(length: int, context: np.ndarray, size: np.ndarray, nexts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.concatenate([[0], np.cumsum(size)])
+        for at in range(0, len(context), 50_000):
+            c, e = context[at:at + 50_000], ends[at:at + 50_001]
+            yield pa.record_batch([pa.array(np.full(len(c), length, dtype=np.int32)), pa.array(c.view(np.int64)),
+                                   pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(nexts[e[0]:e[-1]]))],
+                                  names=["length", "context", "nexts"])
+
+    def grouped(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], (g[1:] >> eight) != (g[:-1] >> eight)]))
+        return first, np.diff(np.append(first, len(g))), np.add.reduceat(n, first)
+
+    for length in range(longest, shortest, -1) if len(g) else ():
+        shorter, back = np.unique(g & np.uint64((1 << (8 * length)) - 1), return_inverse=True)
+        m = np.bincount(back, n).astype(np.int64)
+        first, size, positions = grouped(g, n)
+        _, parent_size, parent_positions = grouped(shorter, m)
+        p = n / np.repeat(positions, size)
+        q = (m / np.repeat(parent_positions, parent_size))[back]
+        kept = (positions >= least) & (np.add.reduceat(p * np.log2(p / q), first) >= divergence)
+        mine = np.repeat(kept, size)
+        yield from given(length, g[first][kept] >> eight, size[kept], ((g & low).astype(np.int64) << 48)[mine] + n[mine])
+        g, n = shorter, m
+    if len(g) and shortest:
+        yield from given(-1, g, np.ones(len(g), dtype=np.int64), n)
+    elif len(g):
+        yield from given(0, np.zeros(1, dtype=np.uint64), np.array([len(g)]), (g.astype(np.int64) << 48) + n)
+
+
+def _kept(grams: DataFrame, least: float, divergence: float) -> DataFrame:
+    """(length, context, nexts) of the contexts that pass both tests, from counts (key, n) of byte strings.
+
+    ``nexts`` holds the next bytes times 2**48 plus their counts.
+    """
+    out = None
+    for longest, shortest in _STEPS:
+        near = F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * shortest)) - 1)
+        # the last step has at most 256**3 rows, whatever the corpus
+        dealt = grams.select("key", "n").repartition(near) if shortest else grams.select("key", "n").repartition(1)
+        found = stored(dealt.mapInArrow(partial(_judge, longest=longest, shortest=shortest, least=least, divergence=divergence),
+                                        "length int, context long, nexts array<long>"), "contexts")
+        grams = found.where("length = -1").select(F.col("context").alias("key"), F.col("nexts")[0].alias("n"))
+        found = found.where("length >= 0")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def retained(grams: DataFrame, least_share: float = 0.0, divergence: float = DIVERGENCE, least_count: int = LEAST_COUNT) -> DataFrame:
     """(length, context, byte, n) of the contexts that pass both tests, from counts (key, n) of byte strings."""
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = None
-    for length in range(DEPTH, -1, -1):
-        mask = (1 << (8 * (length + 1))) - 1
-        level = (grams.withColumn("g", F.col("key").bitwiseAND(mask)).groupBy("g").agg(F.sum("n").alias("n"))
-                 .select(F.lit(length).alias("length"), F.shiftright("g", 8).alias("context"),
-                         F.col("g").bitwiseAND(255).cast("int").alias("byte"), "n"))
-        levels = level if levels is None else levels.unionByName(level)
-    sums = levels.groupBy("length", "context").agg(F.sum("n").alias("positions")).where(
-        (F.col("positions") >= max(1.0, least_share * total)) | (F.col("length") == 0))
-    often = stored(levels.join(sums, ["length", "context"]), "contexts")  # at most 256 bytes after 1 / share contexts of a length
-    parent = often.select((F.col("length") + 1).alias("length"), F.col("context").alias("suffix"), "byte",
-                          (F.col("n") / F.col("positions")).alias("q"))
-    shorter = F.when(F.col("length") > 0, F.col("context").bitwiseAND(
-        F.expr("shiftleft(1L, CAST(8 * (length - 1) AS INT))") - 1)).otherwise(F.lit(-1))
-    p = F.col("n") / F.col("positions")
-    passed = (often.withColumn("suffix", shorter).join(parent, ["length", "suffix", "byte"], "left")
-              .groupBy("length", "context").agg(F.sum(p * F.log2(p / F.col("q"))).alias("bits"))
-              .where((F.col("length") == 0) | (F.col("bits") >= divergence)).select("length", "context"))
-    return often.join(passed, ["length", "context"], "left_semi").select("length", "context", "byte", "n")
-
-
-def _score(batches: Iterator[pa.RecordBatch], model, words: int, distinct: int, tree_weight: float) -> Iterator[pa.RecordBatch]:
-    """Scores of the documents of blocks; the counts of a block's tokens come before its documents."""
-    tree = model.value
+    kept = _kept(grams, _least(grams, least_share, least_count), divergence)
+    return kept.select("length", "context", F.expr(f"inline({_NEXT})"))
+
+
+def _least(grams: DataFrame, least_share: float, least_count: int) -> float:
+    """Positions a context needs; a share of all positions, asked for besides, keeps a tree from growing with the corpus."""
+    if not least_share:
+        return least_count
+    return max(least_count, least_share * grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def _score(batches: Iterator[pa.RecordBatch], words: int, distinct: int, tree_weight: float) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents of blocks; the counts of a block's tokens and contexts come before its documents."""
     floor = words + 0.5 * (distinct + 1)
-    now, keys, counts, ready = None, [], [], False
+    now, keys, counts, met, ready = None, [], [], [], False
     for batch in batches:
-        blocks, is_text = batch.column("block").to_numpy(), batch.column("text").is_valid().to_numpy(zero_copy_only=False)
-        cuts = (np.flatnonzero((np.diff(blocks) != 0) | (is_text[1:] != is_text[:-1])) + 1).tolist()
+        blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+        cuts = (np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(blocks)]):
             if b == a:
                 continue
             if blocks[a] != now:
                 now, keys, counts, ready = blocks[a], [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], False
+                met = [(np.empty(0, dtype=np.int64),) * 3]
             part = batch.slice(a, b - a)
-            if not is_text[a]:
+            if kinds[a] == 1:
+                nexts = part.column("nexts")
+                met.append((part.column("key").to_numpy(), nexts.value_lengths().to_numpy().astype(np.int64), nexts.flatten().to_numpy()))
+                continue
+            if kinds[a] == 0:
                 keys.append(part.column("key").to_numpy().view(np.uint64))
                 counts.append(part.column("n").to_numpy())
                 continue
             if not ready:
                 known, order = np.unique(np.concatenate(keys), return_index=True)
                 number, ready = np.concatenate(counts)[order], True
+                tree, met = Contexts.of(*(np.concatenate(x) for x in zip(*met))), []
             for chunk in _chunks([part]):
                 tokens = Tokens.of(chunk.column("text").to_pylist())
                 own = tokens.hashes()
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                 c = np.where(known[at] == own, number[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
                 share = (c + 0.5) / floor
-                logs = tree.logs(tokens.data).astype(np.float64)
+                logs = tree.logs(tokens.grams())
                 by_tree = np.power(10.0, np.add.reduceat(logs, tokens.begin - len(_START)))
                 scores = np.log10(tree_weight * by_tree + (1 - tree_weight) * share)
                 first = np.cumsum(tokens.per_document) - tokens.per_document
@@ -324,32 +401,32 @@ def _score(batches: Iterator[pa.RecordBatch], model, words: int, distinct: int,
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def train(docs: DataFrame, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> tuple[DataFrame, SuffixTree, int, int]:
+def train(docs: DataFrame, least_share: float = 0.0, divergence: float = DIVERGENCE,
+          least_count: int = LEAST_COUNT) -> tuple[DataFrame, SuffixTree, int, int]:
     """Token counts (key, n), the tree, and the numbers of tokens and of distinct tokens, from the texts given."""
-    path = new_folder(docs.sparkSession, "language-model")
-    (docs.select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-     .write.partitionBy("kind").parquet(path))
-    counted = docs.sparkSession.read.schema("key long, n long, kind int").parquet(path)
-    words, grams = (counted.where(F.col("kind") == k).select("key", "n") for k in (0, 1))
+    given = docs.select("text")
+    words = stored(given.mapInArrow(partial(_count, kind=0), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = [(r.length, r.context, r.byte, r.n) for r in retained(grams, least_share, divergence).collect()]
-    return words, build_tree(rows), total, distinct
+    grams = given.mapInArrow(partial(_count, kind=1), "key long, n long")
+    kept = _kept(grams, _least(grams, least_share, least_count), divergence)
+    number = F.col("context").bitwiseOR(F.shiftleft(F.col("length").cast("long"), 56)).alias("key")
+    return words, SuffixTree(kept.select(number, "nexts")), total, distinct
 
 
 def score(docs: DataFrame, words: DataFrame, tree: SuffixTree, total: int, distinct: int,
           tree_weight: float = TREE_WEIGHT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of (doc_id, text)."""
-    spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(blocks, "block")
-    met = dealt.select("block", "text").sortWithinPartitions("block").mapInArrow(_distinct, "block long, key long")
-    counts = stored(met.join(words, "key"), "block-counts")
-    rows = (counts.select("block", F.lit(0).alias("kind"), "key", "n").unionByName(
-        docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.lit(1).alias("kind"), "doc_id", "text"),
+    met = dealt.select("block", "text").sortWithinPartitions("block").mapInArrow(_distinct, "block long, kind int, key long")
+    known = words.select(F.lit(0).alias("kind"), "key", "n").unionByName(
+        tree.table.select(F.lit(1).alias("kind"), "key", "nexts"), allowMissingColumns=True)
+    counts = stored(met.join(known, ["kind", "key"]), "block-counts")
+    rows = (counts.unionByName(
+        docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.lit(2).alias("kind"), "doc_id", "text"),
         allowMissingColumns=True).repartition(blocks, "block").sortWithinPartitions("block", "kind"))
-    model = spark.sparkContext.broadcast(tree)  # bounded by the least share of a context
-    return rows.mapInArrow(partial(_score, model=model, words=total, distinct=distinct, tree_weight=tree_weight), _SCORES)
+    return rows.mapInArrow(partial(_score, words=total, distinct=distinct, tree_weight=tree_weight), _SCORES)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,10 @@ def test_language_model_awkward_rows(spark, make, awkward, rows):
     words, tree, total, distinct = suffix_tree.train(none)
     assert (total, distinct) == (0, 0) and suffix_tree.score(none, words, tree, total, distinct).count() == 0
     assert suffix_tree.score(docs, words, tree, total, distinct).count() == len(awkward)
+
+
+def test_rare_context_stays_when_the_corpus_grows(spark):
+    key = lambda b: int.from_bytes(b, "big")
+    for rest in (1_000, 10_000_000):
+        grams = spark.createDataFrame([(key(b"abcdefgx"), 20), (key(b"zzzzzzzy"), rest)], "key long, n long")
+        assert (1, ord("g"), ord("x"), 20) in [tuple(r) for r in suffix_tree.retained(grams).collect()]
