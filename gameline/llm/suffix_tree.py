@@ -11,7 +11,8 @@ distributions are smoothed towards the longest retained proper suffix (Witten-Be
 all bytes alike.  Scoring uses the longest retained suffix of what has been read.
 
 Word frequencies.  A token's probability is ``TREE_WEIGHT`` times its bytes' under the tree plus the rest
-times its add-one-half frequency among all training tokens.  Tokens are known by 64-bit hashes.
+times its add-one-half frequency among all training tokens.  Every document is read as if a line feed and a
+space stood before it and nothing else, so its score does not depend on other rows of its block.  Tokens are known by 64-bit hashes.
 
 Contexts and word frequencies are tables that grow with the corpus and are never sent whole to a task:
 documents are dealt into blocks, the distinct tokens and contexts of each block are joined to the tables,
@@ -44,7 +45,7 @@ CHUNK_BYTES = 2 << 20
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(_SPACE + bytes(range(65, 91)), b"\x20" * len(_SPACE) + bytes(range(97, 123)))
-_START = b"\n "  # what stands before the first document
+_START = b"\n "  # what stands before a document
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,17 +94,20 @@ class Tokens:
         return _mix(sums + size.astype(np.uint64))
 
     def grams(self) -> np.ndarray:
-        """For each byte after ``_START``: the ``DEPTH`` bytes before it, 0 where there are none, and itself, as one number."""
+        """For each byte after ``_START``: the ``DEPTH`` bytes before it and itself, as one number; 0 stands before a document's ``_START``."""
         return _grams(self.data)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
     padded = np.concatenate([np.zeros(DEPTH, dtype=np.uint64), data.astype(np.uint64)])
     n = len(data) - len(_START)
+    # a document starts after a line feed, which ends the one before, and its space
+    feed = np.maximum.accumulate(np.where(data[:n] == 10, np.arange(n), 0))
+    own = np.arange(len(_START), len(data)) - feed
     out = np.zeros(n, dtype=np.uint64)
     for i in range(DEPTH + 1):
         at = len(_START) + i
-        out = (out << np.uint64(8)) | padded[at:at + n]
+        out = (out << np.uint64(8)) | np.where(own >= DEPTH - i, padded[at:at + n], np.uint64(0))
     return out.view(np.int64)
 
 

@@ -161,3 +161,9 @@ def test_rare_context_stays_when_the_corpus_grows(spark):
     for rest in (1_000, 10_000_000):
         grams = spark.createDataFrame([(key(b"abcdefgx"), 20), (key(b"zzzzzzzy"), rest)], "key long, n long")
         assert (1, ord("g"), ord("x"), 20) in [tuple(r) for r in suffix_tree.retained(grams).collect()]
+
+
+def test_no_context_reaches_into_another_document():
+    texts_ = ["first text.", "", "second text"]
+    alone = [suffix_tree.Tokens.of([t]).grams() for t in texts_]
+    assert suffix_tree.Tokens.of(texts_).grams().tolist() == np.concatenate(alone).tolist()
