@@ -112,3 +112,15 @@ def test_daily_run_writes_outputs(spark, rows, tmp_path):
 def test_prop_codes(spark):
     df = spark.createDataFrame([("player_points",), ("other",)], "m string")
     assert [r[0] for r in df.select(lines.code_of(F.col("m"), lines.MARKET_PROPS)).collect()] == ["pts", None]
+
+
+def test_classifier_queries_see_matchup_history(spark, data, monkeypatch):
+    from gameline.catalog import models
+    from gameline.operators import overunder
+
+    given = []
+    monkeypatch.setattr(training, "train_classifier", lambda df, prop, **_: given.append(overunder.over_under_features(
+        df, prop, F.col(f"{prop}_line"), F.col(prop)).agg(F.max("matchup_games"), F.max(F.abs("matchup_edge"))).first()))
+    for query in (models.train_classifiers, models.class_picks):
+        query(spark, data).collect()
+    assert len(given) == 2 and all(games > 0 and edge > 0 for games, edge in given)
