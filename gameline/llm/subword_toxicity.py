@@ -1,7 +1,7 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly.
 
 A word is the mean of the embeddings of its character n-grams, and of itself, all hashed into one table;
-a window of ``WINDOW`` words is the mean of its distinct words, with zero vectors up to ``LEAST_WORDS`` of
+a longer token than ``LONGEST`` characters counts as the overlapping parts that it is cut into; a window of ``WINDOW`` words is the mean of its distinct words, with zero vectors up to ``LEAST_WORDS`` of
 them, so that neither repetition nor brevity makes a word loud; two linear outputs and a softmax give the chance
 of each label.  Table and outputs are trained together in numpy, on windows of at most ``SAMPLE_ROWS``
 labelled documents, with steps that shrink to nothing (``WINDOWS_A_ROW`` evenly spaced windows of each, to bound what the driver holds).  A
@@ -44,14 +44,27 @@ TEMPERATURE = 20.0
 SPREAD = 1e-3
 LEAST_WORDS = 48
 WORDS_KEPT = 400_000
+LONGEST = 64
+PART, PART_STEP = 16, 8  # about a word; neighbours share more than the longest n-gram, so none is lost
 _EDGES = ".,;:!?\"'()[]{}<>|#$%&*-_"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; a token that is too long to be one gives its overlapping parts."""
+    out = []
+    for word in text.split():
+        if len(word) <= LONGEST or len(word.strip(_EDGES)) <= LONGEST:
+            out.append(word)
+        else:
+            out += [word[i:i + PART] for i in range(0, len(word) - PART + PART_STEP, PART_STEP)]
+    return out
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of a word without the signs around it, and of its character n-grams."""
     bare = word.lower().strip(_EDGES)
     marked = f"<{bare}>"
-    grams = [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)] if len(bare) <= 64 else []
+    grams = [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (f"={bare}", *grams)]
 
 
@@ -78,7 +91,7 @@ class SubwordModel:
             self.known.update(zip(new, (np.add.reduceat(flat, np.cumsum(size) - size) / size).tolist()))
 
     def score(self, text: str) -> float:
-        words = text.split()
+        words = words_of(text)
         self.learn(set(words))
         number = self.known.__getitem__
         bags = [set(words[max(0, end - WINDOW):end]) for end in window_ends(len(words)).tolist()]
@@ -156,7 +169,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_label"))):
-            words = text.split()
+            words = words_of(text)
             ends = window_ends(len(words))
             ends = ends[np.unique(np.linspace(0, len(ends) - 1, WINDOWS_A_ROW).astype(int))]
             out += [(doc_id, i, sorted(set(words[max(0, end - WINDOW):end])), label) for i, end in enumerate(ends.tolist())]

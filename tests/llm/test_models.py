@@ -167,3 +167,17 @@ def test_no_context_reaches_into_another_document():
     texts_ = ["first text.", "", "second text"]
     alone = [suffix_tree.Tokens.of([t]).grams() for t in texts_]
     assert suffix_tree.Tokens.of(texts_).grams().tolist() == np.concatenate(alone).tolist()
+
+
+def test_words_glued_into_one_token_are_read(spark, make, toxic_rows, rows):
+    rng = np.random.default_rng(7)
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in toxic_rows], "doc_id long, toxic int, quality int")
+    model = subword_toxicity.train(make([r[:2] for r in toxic_rows]), labels)
+    clean, toxic = text(rng, 60), text(rng, 60, ["idiotic"] * 8)
+    new = [(1, clean.replace(" ", "_")), (2, toxic.replace(" ", "_")), (3, f"{clean} {toxic.replace(' ', '/')} {clean}")]
+    got = rows(subword_toxicity.score(make(new), model)).set_index("doc_id").score
+    assert got[1] < 0.5 < min(got[2], got[3])
+    assert len(subword_toxicity.words_of("x" * 64)) == 1
+    long = "".join(chr(0x4e00 + i) for i in range(203))
+    parts = subword_toxicity.words_of(long)
+    assert all(any(long[i:i + 5] in part for part in parts) for i in range(199))
