@@ -50,10 +50,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: a cut in the lineage that outlives executors."""
+def stored(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """Write a frame to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    ``options`` are those of the Parquet writer.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,6 +50,7 @@ BLOCK_BYTES = 4 << 20
 SCALE = 1_000_000_000
 GROUP_ITEMS = 256
 SPREAD = 64
+ROW_GROUP_BYTES = 16 << 20  # of an index file: a few blocks, so that several tasks can read it
 BROADCAST_BYTES = 8 << 20
 WIDE = 64  # ranges halved at once
 KEPT_ITEMS = 50_000  # items a task keeps its best documents of before it hands them on
@@ -167,6 +168,10 @@ def treap(rows: np.ndarray, cols: np.ndarray, impacts: np.ndarray) -> dict:
             "top": int(impacts.max(initial=0)), "leaf_rows": rows[leaf], "leaf_cols": cols[leaf]}
 
 
+def _column_type(n_docs: int) -> str:
+    return "<u2" if n_docs <= 1 << 16 else "<u4"
+
+
 def _build(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, scale: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
@@ -179,13 +184,15 @@ def _build(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, scale:
                 [pa.array([g["doc_ids"]], pa.binary()), batch.column("terms").slice(at, 1), pa.array([t["levels"].astype("<i8").tobytes()], pa.binary()),
                  pa.array([t["masks"].tobytes()], pa.binary()), pa.array([t["lacks"].astype("<i8" if scale > 1 << 31 else "<i4").tobytes()], pa.binary()),
                  pa.array([t["top"]], pa.int64()),
-                 *[pa.array([t[c].astype("<u4").tobytes()], pa.binary()) for c in ("leaf_rows", "leaf_cols")]],
+                 pa.array([t["leaf_rows"].astype("<u4").tobytes()], pa.binary()),
+                 pa.array([t["leaf_cols"].astype(_column_type(len(lengths))).tobytes()], pa.binary())],
                 names=["doc_ids", "terms", "levels", "masks", "lacks", "top", "leaf_rows", "leaf_cols"])
 
 
 def build(grid: DataFrame, n_docs: int, n_terms: int, scale: int = SCALE) -> DataFrame:
     """The index: one treap for each block, written to the shared folder."""
-    return stored(grid.mapInArrow(partial(_build, n_docs=n_docs, n_terms=n_terms, scale=scale), BLOCK), "treaps")
+    return stored(grid.mapInArrow(partial(_build, n_docs=n_docs, n_terms=n_terms, scale=scale), BLOCK), "treaps",
+                  **{"parquet.block.size": ROW_GROUP_BYTES})
 
 
 class Block:
@@ -197,39 +204,36 @@ class Block:
         self.rows = {t: i for i, t in enumerate(terms)}
         bits, *counts = np.frombuffer(levels, dtype="<i8").tolist()
         self.bits = bits
-        self.masks = np.frombuffer(masks, dtype=np.uint8).astype(np.int64)
+        self.masks = np.frombuffer(masks, dtype=np.uint8)
         ones = _ONES[self.masks]
-        self.child = np.cumsum(ones) - ones + 1  # where the children of a square begin
-        best = np.full(len(self.masks), top, dtype=np.int64)
+        self.child = np.cumsum(ones, dtype=np.int32) - ones + 1  # where the children of a square begin
         lacks = np.frombuffer(lacks, dtype="<i8" if scale > 1 << 31 else "<i4")
-        parents = np.repeat(np.arange(len(ones)), ones)  # of the squares 1, 2, ...
-        at = 1
-        for n in counts[1:]:  # a level's maxima come from the level above
-            best[at:at + n] = best[parents[at - 1:at - 1 + n]] - lacks[at:at + n]
-            at += n
-        self.best = best
-        is_leaf = self.masks == 0
-        self.leaf = np.cumsum(is_leaf) - 1
-        self.leaf_rows, self.leaf_cols = (np.frombuffer(x, dtype="<u4").astype(np.int64) for x in (leaf_rows, leaf_cols))
-
-    def _held(self, node: np.ndarray, rows: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """Squares with one point that is not in the row, or not in the range of documents, are dropped (-1)."""
-        leaf = (node >= 0) & (self.masks[node] == 0)
-        point = self.leaf[node]
-        inside = ((self.leaf_rows[point] == rows) & (self.leaf_cols[point] >= first[:, None])
-                  & (self.leaf_cols[point] < (first + width)[:, None]))
-        return np.where(leaf & ~inside, -1, node)
+        best = np.full(len(self.masks), top, dtype=lacks.dtype)
+        above, at = 0, 1
+        for m, n in zip(counts, counts[1:]):  # a level's maxima come from the level above
+            best[at:at + n] = np.repeat(best[above:above + m], ones[above:above + m]) - lacks[at:at + n]
+            above, at = at, at + n
+        # the last square stands for none: a leaf without impact, in a row that no term has
+        self.masks, self.best, self.child = (np.append(x, np.zeros(1, x.dtype)) for x in (self.masks, best, self.child))
+        self.leaf = np.cumsum(self.masks == 0, dtype=np.int32) - 1
+        wide = np.int32 if bits < 31 else np.int64
+        self.leaf_rows = np.append(np.frombuffer(leaf_rows, dtype="<u4").astype(wide), -1)
+        self.leaf_cols = np.append(np.frombuffer(leaf_cols, dtype=_column_type(len(self.doc_ids))).astype(wide), 0)
+
+    def _own(self, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Squares with one point that lies in another row than the term's are none (-1)."""
+        return np.where((self.masks[node] == 0) & (self.leaf_rows[self.leaf[node]] != rows), -1, node)
 
     def search(self, terms: list[str], weights: list[int], k: int, floor: int = 0) -> list[tuple[int, int]]:
         """The k best documents by (score, smaller id) that score at least ``floor`` and above 0, as (score, column)."""
         asked = [(self.rows[t], w) for t, w in zip(terms, weights) if w > 0 and t in self.rows]
-        if not asked or not len(self.leaf_rows):
+        if not asked:
             return []
         rows, weight = np.array([r for r, _ in asked], dtype=np.int64), np.array([w for _, w in asked], dtype=np.int64)
         # ranges that wait: bound, level, first column, one square for each term
         level, first = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        node = self._held(np.zeros((1, len(rows)), dtype=np.int64), rows, first, np.array([1 << self.bits]))
-        bound = self._bound(node, weight)
+        node = self._own(np.zeros((1, len(rows)), dtype=np.int64), rows)
+        bound = self.best[node] @ weight
         found: list[tuple[int, int]] = []
         while len(bound):
             wait = np.flatnonzero(bound >= max(floor, 1))
@@ -248,27 +252,23 @@ class Block:
             bound, level, first, node = (np.concatenate([old[rest], new]) for old, new in zip((bound, level, first, node), halves))
         return found
 
-    def _bound(self, node: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        return (np.where(node >= 0, self.best[node], 0) * weight).sum(axis=1)
-
     def _halves(self, level: np.ndarray, first: np.ndarray, node: np.ndarray, rows: np.ndarray, weight: np.ndarray):
         """Both halves of some ranges of documents, one level down each row's path."""
-        shift = self.bits - 1 - level
-        row_half = (rows[None, :] >> shift[:, None]) & 1
-        out = []
-        for half in (0, 1):
-            quarter = row_half * 2 + half
-            mask = self.masks[node]
-            below = self.child[node] + _ONES[mask & ((1 << quarter) - 1)]
-            inner = np.where((mask >> quarter) & 1 == 1, below, -1)
-            down = np.where(node < 0, -1, np.where(mask == 0, node, inner))
-            begins = first + (half << shift)
-            down = self._held(down, rows, begins, 1 << shift)
-            out.append((self._bound(down, weight), level + 1, begins, down))
-        return tuple(np.concatenate(c) for c in zip(*out))
-
-
-_ONES = np.array([bin(m).count("1") for m in range(16)], dtype=np.int64)
+        shift = (self.bits - 1 - level)[:, None]
+        mask = self.masks[node]
+        row_half = (rows >> shift) & 1
+        quarter = 2 * row_half + _HALVES
+        inner = np.where((mask >> quarter) & 1, self.child[node] + _ONES[mask & ((1 << quarter) - 1)], -1)
+        # a single point goes on in the half that holds its document
+        point_half = (self.leaf_cols[self.leaf[node]] >> shift) & 1
+        down = np.where(mask == 0, np.where(point_half == _HALVES, node, -1), inner)
+        down = self._own(down, rows).reshape(-1, len(rows))
+        begins = np.concatenate([first, first + (1 << shift[:, 0])])
+        return self.best[down] @ weight, np.concatenate([level, level]) + 1, begins, down
+
+
+_HALVES = np.array([0, 1])[:, None, None]
+_ONES = np.array([bin(m).count("1") for m in range(16)], dtype=np.int32)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, scale: int, kept: int) -> Iterator[pa.RecordBatch]:

@@ -50,9 +50,10 @@ def test_squares_keep_every_point(shape):
     t = treap_search.treap(rows, cols, impacts)
     assert sorted(zip(t["leaf_rows"].tolist(), t["leaf_cols"].tolist())) == sorted(zip(rows.tolist(), cols.tolist()))
     packed = [t["levels"].astype("<i8").tobytes(), t["masks"].tobytes(), t["lacks"].astype("<i4").tobytes(), t["top"],
-              t["leaf_rows"].astype("<u4").tobytes(), t["leaf_cols"].astype("<u4").tobytes()]
+              t["leaf_rows"].astype("<u4").tobytes(), t["leaf_cols"].astype("<u2").tobytes()]
     block = treap_search.Block(np.arange(n_cols, dtype="<i8").tobytes(), [f"t{r:03d}" for r in range(n_rows)], *packed)
-    best = {(r, c): v for r, c, v in zip(block.leaf_rows.tolist(), block.leaf_cols.tolist(), block.best[block.masks == 0].tolist())}
+    leaves = (block.leaf_rows, block.leaf_cols, block.best[block.masks == 0])
+    best = {(r, c): v for r, c, v in zip(*(x[:-1].tolist() for x in leaves))}  # the last stands for no square
     assert best == {(r, c): v for r, c, v in zip(rows.tolist(), cols.tolist(), impacts.tolist())}
     for asked in ([0], list(range(min(n_rows, 20))), [n_rows - 1, 0][:n_rows]):
         weights = [1 + a % 7 for a in asked]
@@ -73,7 +74,7 @@ def test_search_opens_few_ranges():
     rows, cols = np.divmod(planted, n_cols)
     t = treap_search.treap(rows, cols, np.where(cols == 777, 900, rng.integers(100, 600, len(rows))))
     block = treap_search.Block(b"\0" * 8 * n_cols, [str(r) for r in range(n_rows)], t["levels"].astype("<i8").tobytes(), t["masks"].tobytes(),
-                               t["lacks"].astype("<i4").tobytes(), t["top"], t["leaf_rows"].astype("<u4").tobytes(), t["leaf_cols"].astype("<u4").tobytes())
+                               t["lacks"].astype("<i4").tobytes(), t["top"], t["leaf_rows"].astype("<u4").tobytes(), t["leaf_cols"].astype("<u2").tobytes())
     opened = []
     halves = block._halves
     block._halves = lambda *a: opened.append(len(a[0])) or halves(*a)
