@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gameline.operators.heat import running_totals
+from gameline.operators.positions import positions
 
 # fixed values: column roles
 ID_COLUMNS = {"player", "tm", "opp", "game_date", "game_id", "matchup_id", "matchup_raw", "res"}
@@ -84,6 +86,32 @@ def require_leak_free(features: Sequence[str], target: str | None = None) -> Non
         raise ValueError("leaking features: " + "; ".join(issues))
 
 
+def require_low_correlation(train: DataFrame, features: Sequence[str], labels: Mapping[str, str], vector: str = "features",
+                            limit: float = 0.85) -> None:
+    """Raise where a feature moves with a target so closely that it cannot be known before the event.
+
+    ``vector`` holds the features as they are trained on; ``labels`` maps target names to their columns.  One
+    co-moment matrix over vector and labels gives all correlations; it is as wide as there are features.
+    """
+    rows = train.where(F.lit(True) if not labels else _all_present(labels.values()))
+    if not labels or len(rows.take(2)) < 2:
+        return
+    joined = VectorAssembler(inputCols=[vector, *labels.values()], outputCol="_all").transform(rows)
+    matrix = Correlation.corr(joined, "_all").first()[0].toArray()
+    n = len(features)
+    found = [f"{f} with {t}: {matrix[i, n + j]:.4f}" for j, t in enumerate(labels) for i, f in enumerate(features)
+             if abs(matrix[i, n + j]) > limit]  # NaN where a column does not vary
+    if found:
+        raise ValueError("leaking features by correlation: " + "; ".join(found))
+
+
+def _all_present(columns: Iterable[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def modelling_table(df: DataFrame, features: Sequence[str], targets: Iterable[str] = TARGETS,
                     ids: Iterable[str] = ID_COLUMNS) -> DataFrame:
     """Identifiers, then targets, then features, each sorted; absent columns are left out."""
@@ -110,10 +138,6 @@ def temporal_split(df: DataFrame, test_days: int = 21, order: str = "game_date")
     return df.withColumn("is_test", (F.col(order) >= cutoff).cast("int"))
 
 
-def row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
-
-
 def expanding_folds(df: DataFrame, order: str = "game_date", seq: Sequence[str] = ("seq",), k: int = 5,
                     ordinal: str = "ordinal") -> DataFrame:
     """Rows in time order with the fold that validates them, -1 for rows that are only trained on.
@@ -121,27 +145,25 @@ def expanding_folds(df: DataFrame, order: str = "game_date", seq: Sequence[str]
     With n rows each fold validates ``n // (k + 1)`` consecutive rows and trains on all rows before
     them; the last fold ends at the last row.
     """
-    numbered = running_totals(df, [], order, seq, {}, ordinal)
-    rows = row_count(df)
+    numbered = positions(df, [order, *seq], ordinal, total="_rows")
+    rows, position = F.col("_rows"), F.col(ordinal) - 1
     size = F.floor(rows / F.lit(k + 1))
-    position = F.col(ordinal) - 1
     fold = F.floor((position - (rows - size * k)) / size)
-    return numbered.withColumn("fold", F.when(position >= rows - size * k, fold).otherwise(F.lit(-1)).cast("int"))
+    return numbered.withColumn("fold", F.when(position >= rows - size * k, fold).otherwise(F.lit(-1)).cast("int")).drop("_rows")
 
 
 def contiguous_folds(df: DataFrame, order: str, seq: Sequence[str], k: int = 3, name: str = "fold") -> DataFrame:
     """Unshuffled folds over the row order; the first ``n % k`` folds hold one row more."""
-    numbered = running_totals(df, [], order, seq, {}, "_ordinal")
-    rows = row_count(df)
+    numbered = positions(df, [order, *seq], "_ordinal", total="_rows")
+    rows, position = F.col("_rows"), F.col("_ordinal") - 1
     base, longer = F.floor(rows / F.lit(k)), rows % k
-    position = F.col("_ordinal") - 1
     edge = longer * (base + 1)
     fold = F.when(position < edge, F.floor(position / (base + 1))).otherwise(longer + F.floor((position - edge) / base))
-    return numbered.withColumn(name, fold.cast("int")).drop("_ordinal")
+    return numbered.withColumn(name, fold.cast("int")).drop("_ordinal", "_rows")
 
 
 def position_split(df: DataFrame, order: str, seq: Sequence[str], share: float = 0.8) -> DataFrame:
     """Mark the first ``share`` of the rows in time order as training rows."""
-    numbered = running_totals(df, [], order, seq, {}, "_ordinal")
-    return numbered.withColumn(
-        "is_train", (F.col("_ordinal") <= F.floor(row_count(df) * F.lit(share))).cast("int")).drop("_ordinal")
+    numbered = positions(df, [order, *seq], "_ordinal", total="_rows")
+    is_train = F.col("_ordinal") <= F.floor(F.col("_rows") * F.lit(share))
+    return numbered.withColumn("is_train", is_train.cast("int")).drop("_ordinal", "_rows")

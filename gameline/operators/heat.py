@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gameline.operators.positions import positions
 from gameline.session import cut
 
 CHUNK_ROWS = 4_000_000
@@ -175,14 +176,18 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, seq: Sequence
                    slot_rows: int = CHUNK_ROWS // 4) -> DataFrame:
     """Inclusive running sums and a 1-based row number in (order, seq) order, for each key or overall.
 
-    Sums are taken per (key, order value) first, so the only window that sees a whole key, or the
-    whole table, runs over those totals: one row per order value plus one per ``slot_rows`` rows.
+    Sums are taken per (key, order value) first, so the only window that sees a whole key runs over those
+    totals: one row per order value plus one per ``slot_rows`` rows.  Without keys the whole table is
+    numbered by a two-level scan.
     """
+    if not keys:
+        plain = [F.col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        return positions(df, [order, *seq, F.xxhash64(*plain)], ordinal, sums=sums)
     binned = _slots(df, keys, order, seq, slot_rows)
     place = [*keys, order, "_bin"]
     totals = {f"_t{i}": F.coalesce(F.sum(c), F.lit(0)) for i, c in enumerate(sums.values())}
     slots = binned.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in totals.items()])
-    w = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order, "_bin")
+    w = (Window.partitionBy(*keys).orderBy(order, "_bin")
          .rowsBetween(Window.unboundedPreceding, -1))
     before = {f"_b{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in ["_n", *totals]}
     slots, renamed = _keyed(slots.withColumns(before).drop("_n", *totals), place, "_slot")

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gameline.session import use_checkpoint_folder
 
@@ -41,16 +42,22 @@ def positions(df: DataFrame, order: Sequence[str | Column], ordinal: str = "ordi
     sums = sums or {}
     own = {f"_t{i}": F.coalesce(F.sum(F.col(c)), F.lit(0)) for i, c in enumerate(sums.values())}
     ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in own.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = ranges.select(
-        F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"),
-        F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b{n}") for n in own])
-    joined = rows.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # one row per range
+    found = {r["_range"]: r for r in ranges.collect()}  # one row per range
+    last = max(found, default=-1)
+
+    def starts(name: str) -> Column:
+        """What the ranges before each one add up to, as a constant array."""
+        kind, so_far, out = ranges.schema[name].dataType, 0, []
+        for i in range(max(last, 0) + 1):
+            out.append(so_far)
+            so_far += found[i][name] if i in found else 0
+        listed = F.lit(",".join(map(repr if isinstance(kind, (T.DoubleType, T.FloatType)) else str, out)))
+        return F.get(F.split(listed, ",").cast(T.ArrayType(kind)), F.col("_range").cast("int"))
+
     inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    out = {ordinal: F.col("_b") + F.col("_place") + 1}
+    out = {ordinal: starts("_n") + F.col("_place") + 1}
     if total:
-        out[total] = F.col("_all")
+        out[total] = F.lit(sum(r["_n"] for r in found.values())).cast("long")
     for i, (name, source) in enumerate(sums.items()):
-        out[name] = F.col(f"_b_t{i}") + F.coalesce(F.sum(F.col(source)).over(inside), F.lit(0))
-    return joined.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+        out[name] = starts(f"_t{i}") + F.coalesce(F.sum(F.col(source)).over(inside), F.lit(0))
+    return rows.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
