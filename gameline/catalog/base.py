@@ -13,7 +13,7 @@ EVENTS = """ev AS (
 GAMES = """by_order AS (
   SELECT l_orderkey, CAST(floor(sum(l_quantity) / 5) AS DOUBLE) AS pts, CAST(count(*) AS DOUBLE) AS trb,
          CAST(sum(l_linenumber) AS DOUBLE) AS ast,
-         least(48.0::DOUBLE, floor(sum(floor(l_extendedprice / 1000)) / 5)) AS mp,
+         floor(1.75::DOUBLE * sqrt(CAST(sum(floor(l_extendedprice / 1000)) AS DOUBLE))) AS mp,
          sum(round(l_tax * 100)) AS fga,
          sum(round(l_discount * 100)) AS fg_pct,
          CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) AS "3pa",

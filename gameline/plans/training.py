@@ -7,10 +7,12 @@ deviations, metrics), never rows of the table.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -27,6 +29,8 @@ from gameline.operators import dataset, decisions, overunder, quality, stats
 from gameline.session import use_checkpoint_folder
 
 SEED = 42
+FITS_AT_ONCE = 8
+ROWS_A_PIECE = 50_000
 
 # fixed values: inputs of the minutes model
 MINUTES_FEATURES = [
@@ -46,6 +50,20 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A computed frame that stays after what it was made from is released: a checkpoint where there is a folder, else kept."""
+    if use_checkpoint_folder(df.sparkSession):
+        return df.checkpoint()
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
+def in_pieces(df: DataFrame, rows: int = ROWS_A_PIECE) -> DataFrame:
+    """A kept frame in no more pieces than its rows need: a fit starts hundreds of jobs over them."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def _one_row(df: DataFrame) -> dict:
     return df.first().asDict()
 
@@ -86,6 +104,7 @@ def ridge(alpha: float, rows: int, label_std: float, label: str = "label", predi
                             solver="normal", regParam=alpha * label_std / rows)
 
 
+# fixed values of the three blocks that follow: settings of the published models
 def base_regressors(rows: int, label_std: float, trees: int = 100) -> dict[str, Estimator]:
     return {
         "gbm": GBTRegressor(labelCol="label", maxIter=trees, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, seed=SEED),
@@ -135,29 +154,49 @@ def averaged(models: Mapping[str, PipelineModel]) -> PipelineModel:
     return PipelineModel(stages=[*first.stages[:-1], *members, mean])
 
 
+def boosted_grid(folds: DataFrame, lengths: Sequence[int] = (100, 150), depths: Sequence[int] = (4, 5),
+                 steps: Sequence[float] = (0.05, 0.1), leaves: Sequence[int] = (15, 20), k: int = 3,
+                 at_once: int = FITS_AT_ONCE) -> dict[tuple[int, int, float, int], float]:
+    """Mean absolute error over ``k`` folds for each (trees, depth, step, rows of a leaf) of the boosted grid.
+
+    A boosted model holds every shorter one, so only the longest is fitted for each fold and the errors of
+    all lengths come from one pass over the fold's rows.  ``folds``: label, features, fold.
+    """
+    cells = [(d, s, m) for d in depths for s in steps for m in leaves]
+
+    def errors(fold: int, depth: int, step: float, leaf: int) -> list[float]:
+        gbm = GBTRegressor(labelCol="label", maxIter=max(lengths), maxDepth=depth, stepSize=step, minInstancesPerNode=leaf,
+                           subsamplingRate=0.8, seed=SEED)
+        model = gbm.fit(folds.where(F.col("fold") != fold).select("label", "features"))
+        return model.evaluateEachIteration(folds.where(F.col("fold") == fold).select("label", "features"), "absolute")
+
+    found = _together(folds.sparkSession, {f"{f}/{c}": partial(errors, f, *c) for c in cells for f in range(k)}, at_once)
+    return {(n, *c): sum(found[f"{f}/{c}"][n - 1] for f in range(k)) / k for n in lengths for c in cells}
+
+
 def grid_search(train: DataFrame, kind: str, rows: int, label_std: float, order: str = "game_date",
-                seq: Sequence[str] = ("seq",), parallelism: int = 4) -> Estimator:
-    """Best settings by mean absolute error over three unshuffled folds; ``train`` has features and label."""
+                seq: Sequence[str] = ("seq",), parallelism: int = 4, **grid) -> Estimator:
+    """Best settings by mean absolute error over three unshuffled folds; ``train`` has features and label.
+
+    ``grid`` are the values of ``boosted_grid``.  Of equally good settings the first counts.
+    """
+    folds = dataset.contiguous_folds(train, order, seq, 3)
     if kind == "gbm":
-        estimator = GBTRegressor(labelCol="label", subsamplingRate=0.8, seed=SEED)
-        grid = (ParamGridBuilder().addGrid(estimator.maxIter, [100, 150]).addGrid(estimator.maxDepth, [4, 5])
-                .addGrid(estimator.stepSize, [0.05, 0.1]).addGrid(estimator.minInstancesPerNode, [15, 20]).build())
-    elif kind == "ridge":
-        estimator = ridge(1.0, rows, label_std)
-        # a fold trains on two thirds of the rows
-        scale = label_std / (rows * 2 / 3)
-        grid = ParamGridBuilder().addGrid(estimator.regParam, [a * scale for a in (0.1, 0.5, 1.0, 2.0, 5.0)]).build()
-    else:
+        with kept(folds.select("label", "features", "fold")) as wide, kept(in_pieces(wide)) as numbered:
+            errors = boosted_grid(numbered, **grid)
+        n, depth, step, leaf = min(errors, key=errors.get)
+        return GBTRegressor(labelCol="label", maxIter=n, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, subsamplingRate=0.8, seed=SEED)
+    if kind != "ridge":
         raise ValueError(f"no grid for {kind!r}")
-    folds = dataset.contiguous_folds(train, order, seq, 3)
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, numFolds=3, foldCol="fold", seed=SEED,
+    estimator = ridge(1.0, rows, label_std)
+    # a fold trains on two thirds of the rows
+    scale = label_std / (rows * 2 / 3)
+    cells = ParamGridBuilder().addGrid(estimator.regParam, [a * scale for a in (0.1, 0.5, 1.0, 2.0, 5.0)]).build()
+    search = CrossValidator(estimator=estimator, estimatorParamMaps=cells, numFolds=3, foldCol="fold", seed=SEED,
                             evaluator=RegressionEvaluator(labelCol="label", metricName="mae"), parallelism=parallelism)
     found = search.fit(folds)
-    best = grid[min(range(len(grid)), key=lambda i: found.avgMetrics[i])]
-    if kind == "ridge":
-        alpha = best[estimator.regParam] / scale
-        return ridge(alpha, rows, label_std)
-    return estimator.copy(best)
+    best = cells[min(range(len(cells)), key=lambda i: found.avgMetrics[i])]
+    return ridge(best[estimator.regParam] / scale, rows, label_std)
 
 
 @dataclass
@@ -209,62 +248,143 @@ def _fit_all(train: DataFrame, scaling: Scaling, estimators: Mapping[str, Estima
     """Fit several estimators on one prepared frame, the preparation computed once."""
     ahead = scaling.stages()
     prepared = PipelineModel(stages=ahead).transform(train)
-    wide = prepared.select("label", "features")
     out = {}
-    with kept(wide):
+    with kept(prepared.select("label", "features")) as wide, kept(in_pieces(wide)) as rows:
         for name, estimator in estimators.items():
-            out[name] = PipelineModel(stages=[*ahead, estimator.fit(wide)])
+            out[name] = PipelineModel(stages=[*ahead, estimator.fit(rows)])
     return out
 
 
-def train_regression(df: DataFrame, target: str, features: Sequence[str], line: str | None = None, test_days: int = 21,
-                     regressors: Callable[..., Mapping[str, Estimator]] = base_regressors, ensemble: bool = False,
-                     select_on: str = "test", validation_days: int = 21, trees: int | None = None,
-                     order: str = "game_date") -> tuple[Bundle, DataFrame]:
-    """Fit several regressors on the older rows and keep the one with the lowest error.
+@dataclass
+class Prepared:
+    """One assembled vector table for several targets.
 
-    ``select_on='test'`` compares on the test rows; ``'validation'`` sets the last days before them
-    aside for the choice.  Returns the bundle and the predictions of the test rows.
+    ``rows``: identifiers, ``part`` (0 trained on, 1 judged on, 2 tested on), ``features``, and for each
+    target its label and its line.  ``sizes`` holds the trained rows and the label's deviation of each target.
+    """
+
+    rows: DataFrame
+    stages: list
+    features: list[str]
+    lines: dict[str, str | None]
+    sizes: dict[str, tuple[int, float]]
+
+    def of(self, target: str, part: int) -> DataFrame:
+        label = F.col(f"_label_{target}")
+        line = [F.col(f"_line_{target}").alias("line")] if self.lines[target] else []
+        ids = [c for c in self.rows.columns if not c.startswith("_") and c not in ("part", "features")]
+        return self.rows.where((F.col("part") == part) & label.isNotNull()).select(*ids, label.alias("label"), *line, "features")
+
+
+def _parts(df: DataFrame, test_days: int, select_on: str, validation_days: int, order: str) -> DataFrame:
+    """Add ``part``: 0 for training rows, 1 for validation days, 2 for the last ``test_days`` days."""
+    marked = dataset.temporal_split(df, test_days, order)
+    if select_on == "test":
+        return marked.withColumn("part", F.col("is_test") * 2).drop("is_test")
+    if select_on != "validation":
+        raise ValueError(f"unknown selection {select_on!r}")
+    newest = marked.where("is_test = 0").agg(F.date_sub(F.max(order), validation_days)).scalar()
+    late = F.when(F.col(order) >= newest, 1).otherwise(0)
+    return marked.withColumn("part", F.when(F.col("is_test") == 1, 2).otherwise(late)).drop("is_test")
+
+
+@contextmanager
+def prepared(df: DataFrame, lines: Mapping[str, str | None], features: Sequence[str], test_days: int = 21, select_on: str = "test",
+             validation_days: int = 21, order: str = "game_date"):
+    """Fill, scale and assemble once for all targets (``lines``: target to line column or None), and look for leaks.
+
+    Medians, means and deviations are those of all training rows.  Small tables are kept in few pieces, since
+    a fit starts hundreds of jobs over them.
     """
-    dataset.require_leak_free([f for f in features], None)
     use_checkpoint_folder(df.sparkSession)
-    rows = df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
-    with kept(dataset.temporal_split(rows, test_days, order)) as marked:
-        past, test = marked.where("is_test = 0").drop("is_test"), marked.where("is_test = 1").drop("is_test")
-        if select_on == "validation":
-            inner = dataset.temporal_split(past, validation_days, order)
-            train, judge = inner.where("is_test = 0"), inner.where("is_test = 1")
-        elif select_on == "test":
-            train, judge = past, test
-        else:
-            raise ValueError(f"unknown selection {select_on!r}")
-        scaling = Scaling.fit(train, features)
-        size = _one_row(train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("sd")))
-        options = {} if trees is None else {"trees": trees}
-        members = regressors(size["n"], size["sd"] or 1.0, **options)
-        models = _fit_all(train, scaling, members)
+    ids = [c for c in ("player", order, "seq") if c in df.columns]
+    with kept(_parts(df, test_days, select_on, validation_days, order)) as marked:
+        scaling = Scaling.fit(marked.where("part = 0"), features)
+        stages = scaling.stages()
+        vectors = PipelineModel(stages=stages).transform(marked).select(
+            *ids, "part", "features", *[F.col(t).cast("double").alias(f"_label_{t}") for t in lines],
+            *[F.col(c).cast("double").alias(f"_line_{t}") for t, c in lines.items() if c])
+        with kept(vectors) as wide, kept(in_pieces(wide)) as rows:
+            train = rows.where("part = 0")
+            sizes = _one_row(train.agg(*[a for t in lines for a in (
+                F.count(f"_label_{t}").alias(f"n_{t}"), F.stddev_samp(f"_label_{t}").alias(f"s_{t}"))]))
+            dataset.require_low_correlation(train, features, {t: f"_label_{t}" for t in lines if t in dataset.TARGETS})
+            yield Prepared(rows, stages, list(features), dict(lines),
+                           {t: (sizes[f"n_{t}"], sizes[f"s_{t}"] or 1.0) for t in lines})
+
+
+def _together(spark: SparkSession, calls: Mapping[str, Callable[[], object]], at_once: int) -> dict:
+    """Run independent fits at the same time, each as jobs of a scheduler pool of its own."""
+    def pooled(name: str):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        return calls[name]()
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(calls) or 1))) as workers:
+        waiting = {name: workers.submit(inheritable_thread_target(spark)(pooled), name) for name in calls}
+        return {name: w.result() for name, w in waiting.items()}
+
+
+def _score_target(p: Prepared, target: str, fitted: Mapping[str, object], judge: int) -> tuple[Bundle, DataFrame]:
+    """Judge the fitted models of a target and bundle the best one with its figures and test predictions."""
+    models = {name: PipelineModel(stages=[*p.stages, m]) for name, m in fitted.items() if not isinstance(m, PipelineModel)}
+    direct: dict[str, object] = {n: m for n, m in fitted.items() if not isinstance(m, PipelineModel)}
+    if "ensemble" in fitted:
+        models["ensemble"] = averaged(models)
+        direct["ensemble"] = PipelineModel(stages=models["ensemble"].stages[len(p.stages):])
+
+    def judged(name: str, part: int) -> dict:
+        scored = direct[name].transform(p.of(target, part)).select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+        return _one_row(scored.agg(*aliased(metrics.regression_metrics())))
+
+    marks = {name: judged(name, judge) for name in models}
+    best = min(marks, key=lambda n: marks[n]["mae"] if marks[n]["mae"] is not None else float("inf"))
+    on_test = marks[best] if judge == 2 else judged(best, 2)
+    figures = {**on_test, **{f"train_{k}": v for k, v in judged(best, 0).items()},
+               **{f"{n}_mae": m["mae"] for n, m in marks.items()}, "train_rows": p.sizes[target][0]}
+    bundle = Bundle(models[best], p.features, target, best, figures)
+    scored = direct[best].transform(p.of(target, 2))
+    ids = [c for c in ("player", "game_date", "seq") if c in scored.columns]
+    line = ["line"] if p.lines[target] else []
+    predictions = scored.select(*ids, F.col("label").alias("actual"), F.col("prediction").alias("predicted"), *line, F.lit(target).alias("prop"))
+    if line:
+        simulated = _one_row(predictions.agg(*aliased(metrics.simulated_decisions())))
+        bundle.metrics.update({k: simulated[k] for k in ("n_bets", "accuracy", "roi_pct")})
+    return bundle, predictions
+
+
+def train_targets(df: DataFrame, lines: Mapping[str, str | None], features: Sequence[str], test_days: int = 21,
+                  regressors: Callable[..., Mapping[str, Estimator]] = base_regressors, ensemble: bool = False,
+                  select_on: str = "test", validation_days: int = 21, trees: int | None = None, order: str = "game_date",
+                  at_once: int = FITS_AT_ONCE) -> dict[str, tuple[Bundle, DataFrame]]:
+    """Fit several regressors for each target on the older rows and keep each target's best: (bundle, test predictions).
+
+    ``lines`` names the targets and their line columns, None where a target has none.  The preparation is
+    computed once; the fits of all targets run side by side.  Rows without a target take no part in its fit.
+    ``select_on='test'`` compares on the test rows; ``'validation'`` sets the last days before them aside for
+    the choice.  The predictions are kept, so they outlive the preparation.
+    """
+    dataset.require_leak_free(features)
+    options = {} if trees is None else {"trees": trees}
+    with prepared(df, lines, features, test_days, select_on, validation_days, order) as p:
+        members = {t: regressors(*p.sizes[t], **options) for t in lines}
+
+        def fit(target: str, name: str):
+            return members[target][name].fit(p.of(target, 0).select("label", "features"))
+
+        # the fits that take longest begin first
+        names = sorted({(n, t) for t, m in members.items() for n in m}, key=lambda x: (x[0] == "ridge", x))
+        fitted = _together(df.sparkSession, {f"{t}/{n}": partial(fit, t, n) for n, t in names}, at_once)
+        of = {t: {n: fitted[f"{t}/{n}"] for n in m} for t, m in members.items()}
         if ensemble:
-            models["ensemble"] = averaged(models)
+            of = {t: {**m, "ensemble": PipelineModel(stages=[])} for t, m in of.items()}
+        done = _together(df.sparkSession, {t: partial(_score_target, p, t, of[t], 2 if select_on == "test" else 1) for t in lines}, at_once)
+        return {t: (b, settled(found)) for t, (b, found) in done.items()}
 
-        def judged(model: PipelineModel, part: DataFrame) -> dict:
-            scored = model.transform(part).select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
-            return _one_row(scored.agg(*aliased(metrics.regression_metrics())))
 
-        marks = {name: judged(m, judge) for name, m in models.items()}
-        best = min(marks, key=lambda n: marks[n]["mae"] if marks[n]["mae"] is not None else float("inf"))
-        model = models[best]
-        on_test = marks[best] if select_on == "test" else judged(model, test)
-        figures = {**on_test, **{f"train_{k}": v for k, v in judged(model, train).items()},
-                   **{f"{n}_mae": m["mae"] for n, m in marks.items()}, "train_rows": size["n"]}
-        bundle = Bundle(model, list(features), target, best, figures)
-        scored = bundle.score(test, "predicted", floor=None)
-        ids = [c for c in ("player", order, "seq") if c in df.columns]
-        predictions = scored.select(*ids, F.col("label").alias("actual"), "predicted",
-                                    *([F.col(line).alias("line")] if line else []), F.lit(target).alias("prop"))
-        if line:
-            simulated = _one_row(predictions.agg(*aliased(metrics.simulated_decisions())))
-            bundle.metrics.update({k: simulated[k] for k in ("n_bets", "accuracy", "roi_pct")})
-    return bundle, predictions
+def train_regression(df: DataFrame, target: str, features: Sequence[str], line: str | None = None, **settings) -> tuple[Bundle, DataFrame]:
+    """``train_targets`` for one target: its bundle and the predictions of its test rows."""
+    rows = df.where(F.col(target).isNotNull())
+    return train_targets(rows, {target: line}, features, **settings)[target]
 
 
 def judge_bundles(bundles: Sequence[Bundle], spark: SparkSession, max_gap: float = 0.15) -> DataFrame:
@@ -305,6 +425,7 @@ def train_classifier(df: DataFrame, prop: str, line: str | None = None, test_day
             train, judge = inner.where("is_test = 0"), inner.where("is_test = 1")
         else:
             train, judge = past, test
+        dataset.require_leak_free(names)
         scaling = Scaling.fit(train, names)
         size = train.count()
         models = _fit_all(train, scaling, classifiers(size, trees))
@@ -322,9 +443,19 @@ def train_classifier(df: DataFrame, prop: str, line: str | None = None, test_day
         scored = bundle.probability(test, "prob").select(*ids, "actual", "line", "went_over", "prob", F.lit(prop).alias("prop"))
         chosen = decisions.profitable_threshold(decisions.confidence_buckets(scored))
         bundle.settings["threshold"] = _one_row(chosen)["threshold"]
+        scored = settled(scored)
     return bundle, scored
 
 
+def train_props(df: DataFrame, props: Sequence[str], at_once: int = FITS_AT_ONCE, **settings) -> dict[str, tuple[Bundle, DataFrame]]:
+    """``train_classifier`` for several props side by side; props with too few rows are left out.
+
+    ``df`` should be kept: every prop reads it.
+    """
+    done = _together(df.sparkSession, {p: partial(train_classifier, df, p, **settings) for p in props}, at_once)
+    return {p: found for p, found in done.items() if found is not None}
+
+
 def importances(bundle: Bundle, spark: SparkSession, top: int = 5) -> DataFrame:
     """Largest feature weights of a fitted model; linear weights keep their sign."""
     fitted = bundle.model.stages[-1]
@@ -351,15 +482,18 @@ def minutes_folds(df: DataFrame, target: str, features: Sequence[str], k: int =
     _present(df, features)
     usable = dataset.enough_history(df.where(F.col(target).isNotNull()), least)
     usable = usable.withColumn("label", F.col(target).cast("double"))
-    spark, rows = df.sparkSession, []
+    spark = df.sparkSession
     with kept(dataset.expanding_folds(usable, order, seq, k)) as numbered:
-        for fold in range(k):
+        def validated(fold: int) -> tuple:
             train, held = numbered.where(F.col("fold") < fold), numbered.where(F.col("fold") == fold)
             model = _fit_all(train, Scaling.fit(train, features), {"gbm": minutes_model(trees)})["gbm"]
             scored = model.transform(held).select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
             m = _one_row(scored.agg(F.count(F.lit(1)).alias("n"), *aliased(metrics.regression_metrics())))
-            rows.append((fold + 1, m["mae"], m["r2"], train.count(), m["n"]))
-    return spark.createDataFrame(rows, "fold int, mae double, r2 double, train_size long, val_size long")
+            return fold + 1, m["mae"], m["r2"], train.count(), m["n"]
+
+        numbered.count()
+        done = _together(spark, {f"fold {i}": partial(validated, i) for i in range(k)}, FITS_AT_ONCE)
+    return spark.createDataFrame(list(done.values()), "fold int, mae double, r2 double, train_size long, val_size long")
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -123,4 +123,4 @@ def test_classifier_queries_see_matchup_history(spark, data, monkeypatch):
         df, prop, F.col(f"{prop}_line"), F.col(prop)).agg(F.max("matchup_games"), F.max(F.abs("matchup_edge"))).first()))
     for query in (models.train_classifiers, models.class_picks):
         query(spark, data).collect()
-    assert len(given) == 2 and all(games > 0 and edge > 0 for games, edge in given)
+    assert len(given) == 9 and all(games > 0 and edge > 0 for games, edge in given)
