@@ -61,8 +61,8 @@ def fold_errors(spark, sf):
 
 
 FOLD_ERRORS = f"""WITH {_ROLLED},
-n AS (SELECT *, row_number() OVER (ORDER BY game_date, seq) - 1 AS at, count(*) OVER () AS rows FROM rl WHERE value_l10 IS NOT NULL),
-f AS (SELECT *, (at - (rows - 5 * (rows // 6))) // (rows // 6) AS fold FROM n WHERE at >= rows - 5 * (rows // 6)),
+n AS (SELECT *, row_number() OVER (ORDER BY game_date, seq) - 1 AS pos, count(*) OVER () AS n_rows FROM rl WHERE value_l10 IS NOT NULL),
+f AS (SELECT *, (pos - (n_rows - 5 * (n_rows // 6))) // (n_rows // 6) AS fold FROM n WHERE pos >= n_rows - 5 * (n_rows // 6)),
 m AS (SELECT fold, avg(abs(value - value_l10)) AS mae,
   1 - sum((value - value_l10) ** 2) / (var_pop(value) * count(*)) AS r2 FROM f GROUP BY fold)
 SELECT {r('avg(mae)', 'avg_mae')}, {r('stddev_pop(mae)', 'std_mae')}, {r('avg(r2)', 'avg_r2')} FROM m"""
