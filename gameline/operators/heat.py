@@ -8,8 +8,9 @@ than about one chunk.
 
 Rows of one (key, order value) pair that are too many for a task are cut at approximate quantiles of
 the tie-break columns, in their order: NULL first, then numbers, infinities and NaN as a window sorts
-them, texts by their bytes.  Rows that agree in all tie-break columns stand in no order, and are dealt
-by a hash of the row.  The number of passes has a bound that does not depend on the values.
+them, texts and binary values by their bytes from where those of a slot first differ.  Rows that agree in
+all tie-break columns stand in no order, and are dealt by a hash of the row.  The number of passes has a
+bound that does not depend on the values.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ CHUNK_ROWS = 4_000_000
 PIECES = 64
 PASSES_A_KEY = 2
 TEXT_BYTES = 6
-TEXT_PARTS = 4
+TEXT_PASSES = 32
 
 Build = Callable[[WindowSpec], dict[str, Column]]
 
@@ -69,61 +70,105 @@ def by_heat(df: DataFrame, keys: Sequence[str], ordinary: Callable[[DataFrame],
         hot(cut(df.join(found, cond, "left_semi"))))
 
 
-def _split_keys(rows: DataFrame, seq: Sequence[str]) -> list[Column]:
-    """Doubles that ascend, not strictly, in the order of the tie-break columns, most significant first."""
-    keys, told_apart = [], True
-    for name in seq:
-        c, kind = F.col(name), rows.schema[name].dataType
-        if isinstance(kind, T.LongType):
-            keys += [F.shiftright(c, 32).cast("double"), c.bitwiseAND(0xFFFFFFFF).cast("double")]
-        elif isinstance(kind, T.BooleanType):
-            keys.append(c.cast("int").cast("double"))
-        elif isinstance(kind, T.NumericType):
-            keys.append(c.cast("double"))
-            told_apart = told_apart and not isinstance(kind, T.DecimalType)
-        elif isinstance(kind, T.DateType):
-            keys.append(F.unix_date(c).cast("double"))
-        elif isinstance(kind, T.TimestampType):
-            keys.append(F.unix_micros(c).cast("double"))
-        elif isinstance(kind, T.StringType):
-            data = c.cast("binary")
-            keys += [F.conv(F.rpad(F.hex(F.substring(data, at, TEXT_BYTES)), 2 * TEXT_BYTES, "0"), 16, 10).cast("double")
-                     for at in range(1, TEXT_BYTES * TEXT_PARTS, TEXT_BYTES)]
-            told_apart = False  # texts may differ further on
-        else:
-            told_apart = False
-        if not told_apart:
-            return keys
-    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return [*keys, F.xxhash64(*[F.col(c) for c in plain]).cast("double")]
+def _numbers(c: Column, kind: T.DataType) -> list[Column] | None:
+    """Doubles that ascend, not strictly, with a column's values and together tell them apart; none for other types."""
+    if isinstance(kind, T.LongType):
+        return [F.shiftright(c, 32).cast("double"), c.bitwiseAND(0xFFFFFFFF).cast("double")]
+    if isinstance(kind, T.BooleanType):
+        return [c.cast("int").cast("double")]
+    if isinstance(kind, T.DecimalType):
+        exact, out = T.DecimalType(min(38, kind.precision + 1), kind.scale), []
+        for _ in range(3):  # what a double leaves of a decimal fits into two more
+            out.append(c.cast("double"))
+            c = c.cast(exact) - c.cast("double").cast(exact)
+        return out
+    if isinstance(kind, T.NumericType):
+        return [c.cast("double")]
+    if isinstance(kind, T.DateType):
+        return [F.unix_date(c).cast("double")]
+    if isinstance(kind, T.TimestampType):
+        return [F.unix_micros(c).cast("double")]
+    return None
+
+
+def _full(binned: DataFrame, place: Sequence[str], slot_rows: int) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """The slots that hold too many rows, and those rows; nothing where there are none."""
+    full = binned.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot_rows).drop("_n")
+    full, renamed = _keyed(cut(full), place, "_full")
+    return None if full.isEmpty() else (binned.join(full, same(place, renamed), "left_semi"), full, renamed)
+
+
+def _cut_at(binned: DataFrame, crowded: DataFrame, place: Sequence[str], x: Column, given: Sequence[str] = ()) -> DataFrame:
+    """Append to the path of crowded rows which of up to ``PIECES`` ranges of ``x`` they are in, NULL first and NaN last.
+
+    ``given`` are columns of ``crowded``, one value for each place, that ``x`` is made of.
+    """
+    points = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+    number = F.when(~F.isnan(x), x)
+    found = F.coalesce(F.percentile_approx(number, points, F.lit(1000)), F.array().cast("array<double>"))
+    # a value that fills whole ranges gets one of its own: the next number begins another
+    ends = F.array_sort(F.array_distinct(F.concat(found, F.transform(found, lambda p: p + 1))))
+    points_of = crowded.groupBy(*place).agg(ends.alias("_points"), *[F.first(c).alias(c) for c in given])
+    points_of, renamed = _keyed(cut(points_of), place, "_full")
+    part = (F.when(x.isNull(), F.lit(-1)).when(F.isnan(x), F.lit(2 * PIECES))
+            .otherwise(F.size(F.filter("_points", lambda p: p <= x))))
+    deeper = F.concat("_bin", F.array(part.cast("bigint")))
+    return (binned.join(points_of, same(place, renamed), "left")
+            .withColumn("_bin", F.when(F.col("_points").isNotNull(), deeper).otherwise(F.col("_bin")))
+            .drop("_points", *renamed, *given))
+
+
+def _cut_bytes(binned: DataFrame, place: Sequence[str], name: str, slot_rows: int) -> DataFrame:
+    """Cut crowded slots by the bytes of a text or binary column.
+
+    The smallest and the largest value of a slot begin alike as far as all its values do, so the bytes after
+    that decide; a slot whose values are all equal is left.
+    """
+    data = F.col(name).cast("binary")
+    for _ in range(TEXT_PASSES):
+        found = _full(binned, place, slot_rows)
+        if found is None:
+            return binned
+        crowded = found[0].withColumn("_hex", F.hex(data))
+        low, high = F.min("_hex"), F.max("_hex")
+        differs = F.array_position(F.zip_with(F.split(low, ""), F.split(high, ""), lambda a, b: ~a.eqNullSafe(b)), True)
+        begins = F.when(differs > 0, F.floor((differs - 1) / 2).cast("int") + 1).when(F.count("_hex") < F.count(F.lit(1)), F.lit(1))
+        starts, renamed = _keyed(cut(crowded.groupBy(*place).agg(begins.alias("_from"), F.count("_hex").alias("_texts"))
+                                     .where(F.col("_from").isNotNull() & (F.col("_texts") > 0)).drop("_texts")), place, "_start")
+        if starts.isEmpty():
+            return binned
+        crowded = crowded.drop("_hex").join(starts, same(place, renamed)).drop(*renamed)
+        some = F.substring(data, F.col("_from"), F.lit(TEXT_BYTES))
+        # six bytes as a number, then how many there are: a text sorts before its own continuation
+        x = (F.conv(F.rpad(F.hex(some), 2 * TEXT_BYTES, "0"), 16, 10).cast("long") * 8 + F.octet_length(some)).cast("double")
+        binned = _cut_at(binned, crowded, place, x, ["_from"])
+    return binned
 
 
 def _slots(rows: DataFrame, keys: Sequence[str], order: str, seq: Sequence[str],
            slot_rows: int) -> DataFrame:
     """Add ``_bin``: the path of value ranges of the tie-break columns that holds the row, empty where none is needed.
 
-    A (keys, order) pair with more than ``slot_rows`` rows is cut into up to ``PIECES`` ranges, a range that is
-    still too full is cut once more, then by the next column.  Paths sort like the rows they hold.
+    A (keys, order) pair with more than ``slot_rows`` rows is cut into ranges of the first tie-break column, a range
+    that is still too full is cut once more, then by the next column.  Rows that agree in all of them are
+    dealt by a hash.  Paths sort like the rows they hold.
     """
     place = [*keys, order, "_bin"]
     binned = rows.withColumn("_bin", F.array().cast("array<bigint>"))
-    points = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
-    for x in [k for k in _split_keys(rows, seq) for _ in range(PASSES_A_KEY)]:
-        full = binned.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot_rows).drop("_n")
-        full, renamed = _keyed(cut(full), place, "_full")
-        if full.isEmpty():
-            return binned
-        crowded = binned.join(full, same(place, renamed), "left_semi")
-        number = F.when(~F.isnan(x), x)
-        points_of = crowded.groupBy(*place).agg(F.array_distinct(F.coalesce(
-            F.percentile_approx(number, points, F.lit(1000)), F.array().cast("array<double>"))).alias("_points"))
-        points_of, renamed = _keyed(cut(points_of), place, "_full")
-        part = (F.when(x.isNull(), F.lit(-1)).when(F.isnan(x), F.lit(PIECES))
-                .otherwise(F.size(F.filter("_points", lambda p: p <= x))))
-        deeper = F.concat("_bin", F.array(part.cast("bigint")))
-        binned = (binned.join(points_of, same(place, renamed), "left")
-                  .withColumn("_bin", F.when(F.col("_points").isNotNull(), deeper).otherwise(F.col("_bin")))
-                  .drop("_points", *renamed))
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    for name in [*seq, None]:
+        kind = rows.schema[name].dataType if name else None
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            binned = _cut_bytes(binned, place, name, slot_rows)
+            continue
+        numbers = _numbers(F.col(name), kind) if name else [F.xxhash64(*[F.col(c) for c in plain]).cast("double")]
+        if numbers is None:
+            return binned  # a type whose order is not known here
+        for x in [n for n in numbers for _ in range(PASSES_A_KEY)]:
+            found = _full(binned, place, slot_rows)
+            if found is None:
+                return binned
+            binned = _cut_at(binned, found[0], place, x)
     return binned
 
 

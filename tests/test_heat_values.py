@@ -1,6 +1,7 @@
 """The chunked path orders every kind of tie-break value as the plain window does."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -20,13 +21,17 @@ VALUES = {
     "date": [None] + [DAY + dt.timedelta(days=i * i) for i in range(50)],
     "timestamp": [None] + [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i) for i in range(50)],
     "boolean": [None, True, False],
+    # alike in more than 24 bytes, some the beginning of others
+    "string!long": [None] + ["the same beginning of every text " + "x" * (i % 3) + f"{i:03d}" * (i % 2) + "\0" * (i % 4) + str(i) for i in range(60)],
+    "binary": [None, b"", b"\0", b"\0\0"] + [b"\xff" * 30 + bytes([i]) for i in range(50)],
+    "decimal(38,2)": [None] + [Decimal(f"{10**34}.{i:02d}") for i in range(50)],
 }
 
 
 def rows(spark, kind):
     data = [(1, DAY, v, i) for i, v in enumerate(VALUES[kind])] + [(1, None, v, 100 + i) for i, v in enumerate(VALUES[kind])]
     data += [(2, DAY, v, 200 + i) for i, v in enumerate(VALUES[kind][:3])]
-    return spark.createDataFrame(data, f"k long, d date, t {kind}, n long").repartition(5)
+    return spark.createDataFrame(data, f"k long, d date, t {kind.split('!')[0]}, n long").repartition(5)
 
 
 def result(df):
@@ -61,6 +66,14 @@ def test_equal_tie_breaks_are_split(spark):
     assert sorted(r.ordinal for r in got.collect()) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("value", ["'the same twenty-four bytes in ' || lpad(id, 4, '0')", "'equal for all of the rows, ever'",
+                                   "unhex(repeat('ff', 40))", "CAST(1.5 AS DECIMAL(20,2))"])
+def test_long_and_equal_tie_breaks_are_split(spark, value):
+    df = spark.range(300).select(F.lit(1).alias("k"), F.lit(DAY).alias("d"), F.expr(value).alias("t"), F.col("id").alias("n"))
+    slots = heat._slots(df, ["k"], "d", ["t"], 10).groupBy("_bin").count()
+    assert slots.agg(F.max("count")).first()[0] < 40
+
+
 @pytest.mark.parametrize("chunk", [4, 1000])
 def test_ranks_with_infinities(spark, chunk):
     values = [INF, -INF, 1e300, -1e300, 0.0, 0.0, 1.0, 2.0, 2.0, 3.0, None] + [float(i) for i in range(30)]
