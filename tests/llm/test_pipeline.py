@@ -96,7 +96,7 @@ def test_empty_corpus(spark, tmp_path, make):
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
     found = sorted(int(n[2:].split("_")[0]) for n in names if n[2:].split("_")[0].isdigit())
-    assert found == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert found == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_near_stage_keeps_clean_documents(make):
