@@ -136,17 +136,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, path in zip(batch.column("base").to_pylist(), batch.column("path").to_pylist()):
             file = SequenceFile(path)
-            parts, buffer = file.ids(), b""
+            parts, buffer, at = file.ids(), b"", 0
             for docs in file.documents.to_batches(max_chunksize=1000):
                 out = []
                 for n in docs.column("n_tokens").to_pylist():
-                    pieces, have = [buffer], len(buffer)
-                    while have < 4 * n:
-                        pieces.append(next(parts).astype("<u4").tobytes())
-                        have += len(pieces[-1])
-                    data = b"".join(pieces) if len(pieces) > 1 else buffer
-                    out.append(data[:4 * n])
-                    buffer = data[4 * n:]
+                    if len(buffer) - at < 4 * n:
+                        pieces, have, at = [buffer[at:]], len(buffer) - at, 0
+                        while have < 4 * n:
+                            pieces.append(next(parts).astype("<u4").tobytes())
+                            have += len(pieces[-1])
+                        buffer = b"".join(pieces)
+                    out.append(buffer[at:at + 4 * n])
+                    at += 4 * n
                 starts = pa.array(docs.column("start").to_numpy() + base)
                 yield pa.record_batch([docs.column("doc_id"), starts, docs.column("n_tokens"), pa.array(out, pa.binary())],
                                       names=["doc_id", "start", "n_tokens", "ids"])
