@@ -32,7 +32,8 @@ def standardise(spark, sf):
     """Recent form filled with the medians of the training rows, and scaled by their mean and deviation."""
     df = _rolled(spark, sf)
     train = dataset.temporal_split(df).where("is_test = 0")
-    scaled, _ = training.Scaling.fit(train, _FORM).stages()
+    with training.kept(train.select(*_FORM)) as form:
+        scaled, _ = training.Scaling.fit(form, _FORM).stages()
     return tidy(scaled.transform(df).select("seq", *[F.col(f"z_{c}").alias(f"z_{c}") for c in _FORM]))
 
 

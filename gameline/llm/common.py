@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -11,19 +9,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Give the workers this package, once per application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        bundle = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "gameline-bundle"), "zip",
-                                     os.path.dirname(package), os.path.basename(package))
-        spark.sparkContext.addPyFile(bundle)
-        _shipped.add(app)
-    return spark
+from gameline.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
