@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,17 @@ def cut_windows(points: np.ndarray, penalties: np.ndarray, length: int = LENGTH)
     m = len(points)
     twos: dict[int, list[int]] = {}
     size = 1
+    place = np.full(int(points[-1]) + 1, -1)
+    place[points] = np.arange(m)
     while size < length:
-        at = np.searchsorted(points, points - size)
-        for j in np.flatnonzero((points >= size) & (points[at] == points - size)).tolist():
-            twos.setdefault(j, []).append(int(at[j]))
+        first = int(np.searchsorted(points, size))
+        at = place[points[first:] - size]
+        met = np.flatnonzero(at >= 0)
+        for j, i in zip((met + first).tolist(), at[met].tolist()):
+            if j in twos:
+                twos[j].append(i)
+            else:
+                twos[j] = [i]
         size *= 2
     p, extra = points.tolist(), penalties.tolist()
     cost, came = [0.0] * m, [0] * m
@@ -93,12 +101,16 @@ class Boundaries:
 
     def points(self, ids: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the stream may be cut, and what each cut costs."""
-        sentence = np.flatnonzero(self.stops[ids[:-1]] & self.breaks[ids[1:]]) + 1
-        points = np.union1d(np.union1d(sentence, doc_ends), [0])
+        ends, at = np.zeros(len(ids) + 1, dtype=bool), np.zeros(len(ids) + 1, dtype=bool)
+        ends[doc_ends] = True
+        at[1:-1] = self.stops[ids[:-1]] & self.breaks[ids[1:]]
+        at |= ends
+        at[0] = True
+        points = np.flatnonzero(at)
         gaps = np.flatnonzero(np.diff(points) > length)
         raw = [np.arange(points[g] + RAW_STEP, points[g + 1], RAW_STEP) for g in gaps]
         cost = np.full(len(points), SENTENCE_PENALTY)
-        cost[np.isin(points, doc_ends)] = 0.0
+        cost[ends[points]] = 0.0
         if raw:
             points = np.concatenate([points, *raw])
             cost = np.concatenate([cost, np.full(len(points) - len(cost), RAW_PENALTY)])
@@ -148,7 +160,7 @@ class Stream:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
-    encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+    encode = encoder(tokenizer)
     schema = pa.schema([*[(n, pa.int64()) for n in _NAMES[:-1]], ("ids", pa.binary())])
     stream = Stream(Boundaries(encode, end_id), length, TaskContext.get().partitionId() * SEQUENCES_A_TASK)
 
@@ -156,10 +168,10 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, length
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode.encode(some.column("text").to_pylist())):
-                stream.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
+        doc_ids = iter(batch.column("doc_id").to_pylist())
+        for ids, ends in encode.encode_flat(batch.column("text").to_pylist(), end_id):
+            for doc_id, own in zip(islice(doc_ids, len(ends)), np.split(ids, ends[:-1])):
+                stream.add(doc_id, own)
                 if stream.held >= BLOCK_TOKENS and (found := stream.pieces(last=False)):
                     yield rows(found)
     if found := stream.pieces(last=True):

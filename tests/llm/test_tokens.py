@@ -160,3 +160,42 @@ def test_packing_of_awkward_rows(spark, make, encode, rows):
     check_pieces(got, [r[0] for r in given_rows], dict(zip([r[0] for r in given_rows], [x + [1] for x in encode([t for _, t in given_rows])])))
     repeated = rows(packing.pack(make([(1, "a b"), (1, "a b"), (None, "c")])))
     assert len(repeated) == 3
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.characters = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **settings):
+        self.characters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **settings)
+
+
+def test_letters_are_encoded_once_whatever_marks_follow():
+    encode = WordEncoder(tokenizer_path())
+    encode.tokenizer = Counting(encode.tokenizer)
+    marks = [",", ".", "!!", "%%%", ".***", "'", '")', "-"]
+    text = "".join(f" {w}{m}" for m in marks for w in ("untwistedness", "überläufe", "hors"))
+    assert np.frombuffer(encode.encode([text])[0], dtype="<u4").tolist() == encode.tokenizer.tokenizer.encode(
+        text, add_special_tokens=False).ids
+    assert encode.tokenizer.characters < len(text) / 2
+
+
+def test_words_with_marks_equal_the_library():
+    words = ["don't", "it's,", "'s", "x's.", "é,'", "l'eau,", "naïve'll", "a'", "'", "ªº.", "ǅ!", "ǰ,'s", "日本,", "é.", "<|endoftext|>.", "½.", "a1,", "_a_", "ⅷ,", "ʼn,", "ˮ,"]
+    texts = [f"{before}{w}{after}" for w in words for before in ("", " ", "\n", "\t", "x ", " \n") for after in ("", " ", "\n", "s ", " 's", "\0")]
+    encode = WordEncoder(tokenizer_path(), words_kept=20)
+    for some in (texts, texts[::-1], texts[:7]):
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in encode.encode(some)]
+        assert got == [e.ids for e in encode.tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
+def test_flat_ids_end_with_the_end_id(monkeypatch):
+    monkeypatch.setattr("gameline.llm.encoding.CHARS_AT_ONCE", 12)
+    texts = ["", "one two", "", "", "three, four.\n\nfive \0 six", ""]
+    encode, own = WordEncoder(tokenizer_path()), []
+    for ids, ends in encode.encode_flat(texts, 2):
+        own += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert own == [[*e.ids, 2] for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
