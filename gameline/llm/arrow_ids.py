@@ -65,26 +65,27 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     store.create_dir(top, recursive=True)
     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-    full, end = length * SEQUENCES_A_BATCH, np.array([end_id], dtype="<u4").tobytes()
+    full = length * SEQUENCES_A_BATCH
     waiting, held, n_ids, n_docs, writers = [], 0, 0, 0, None
     try:
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            if writers is None:
+        for batch in batches:
+            if writers is None and batch.num_rows:
                 outs = [store.open_output_stream(fs.FileSystem.from_uri(p)[1]) for p in (path, f"{path}.index")]
                 writers = [pa.ipc.new_file(outs[0], schema), pa.ipc.new_file(outs[1], index_schema)]
-            coded = [ids + end for ids in encode.encode(batch.column("text").to_pylist())]
-            sizes = np.array([len(ids) // 4 for ids in coded], dtype=np.int64)
-            writers[1].write_batch(pa.record_batch([batch.column("doc_id"), n_ids + np.cumsum(sizes) - sizes, sizes],
-                                                   schema=index_schema))
-            n_ids, n_docs = n_ids + int(sizes.sum()), n_docs + batch.num_rows
-            waiting.append(np.frombuffer(b"".join(coded), dtype="<u4"))
-            held += len(waiting[-1])
-            if held >= full:
-                ids = np.concatenate(waiting)
-                for at in range(0, held - held % full, full):
-                    writers[0].write_batch(_batch(schema, ids[at:at + full], length))
-                waiting = [ids[held - held % full:]]
-                held %= full
+            at = 0
+            for ids, ends in encode.encode_flat(batch.column("text").to_pylist(), end_id):
+                sizes = np.diff(ends, prepend=0)
+                writers[1].write_batch(pa.record_batch([batch.column("doc_id").slice(at, len(ends)), n_ids + ends - sizes, sizes],
+                                                       schema=index_schema))
+                at, n_ids, n_docs = at + len(ends), n_ids + len(ids), n_docs + len(ends)
+                waiting.append(ids)
+                held += len(ids)
+                if held >= full:
+                    ids = np.concatenate(waiting)
+                    for begin in range(0, held - held % full, full):
+                        writers[0].write_batch(_batch(schema, ids[begin:begin + full], length))
+                    waiting = [ids[held - held % full:]]
+                    held %= full
         if held:
             writers[0].write_batch(_batch(schema, np.concatenate(waiting), length))
     finally:

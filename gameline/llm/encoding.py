@@ -24,7 +24,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORDS_KEPT = 1_000_000
 WORD_CHARS = 48
 WORDS_AT_ONCE = 5_000
-CHARS_AT_ONCE = 16 << 20
+CHARS_AT_ONCE = 8 << 20
 
 _ADJACENT_SPACE = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<!\s)(?=[ \n])")
