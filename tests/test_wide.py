@@ -64,6 +64,12 @@ def test_pieces_do_not_grow_without_end(spark):
     assert training.side_by_side(spark, 1000) == training.FITS_AT_ONCE and training.side_by_side(spark, 10**9) == 1
 
 
+def test_fits_have_one_piece_a_core_or_a_few_large_ones(spark):
+    df, cores = spark.range(1000, numPartitions=500), spark.sparkContext.defaultParallelism
+    assert training.in_pieces(df, cores * 500_000).rdd.getNumPartitions() == cores
+    assert training.in_pieces(df, cores * 500_000 + 1).rdd.getNumPartitions() == 2 * cores
+
+
 def test_bundles_of_one_preparation_share_their_vectors(spark):
     df, names = frame(spark, [np.arange(50.0), np.sin(np.arange(50.0))])
     df = df.withColumn("label", F.col("c0") * 2 - 9)
