@@ -1,9 +1,11 @@
 """Held-out accuracy of the classifiers, and the language model against its definition."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -163,6 +165,29 @@ def test_rare_context_stays_when_the_corpus_grows(spark):
         assert (1, ord("g"), ord("x"), 20) in [tuple(r) for r in suffix_tree.retained(grams).collect()]
 
 
+def test_stored_tables_are_smaller_than_the_texts(spark, monkeypatch):
+    written, stored = [], suffix_tree.stored
+
+    def measured(df, *args, **options):
+        out = stored(df, *args, **options)
+        written.append(sum(os.path.getsize(unquote(urlparse(f).path)) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "stored", measured)
+    docs = common.texts(common.table(spark, BIG, "documents"))
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert suffix_tree.score(docs, *suffix_tree.train(docs), block_bytes=8 << 20).count() == docs.count()
+    assert 0 < sum(written) < 1.2 * size
+
+
+def test_blocks_do_not_change_scores(spark, make, awkward, rows):
+    docs = common.texts(make(awkward))
+    model = suffix_tree.train(docs)
+    key = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    whole, parts = (rows(suffix_tree.score(docs, *model, block_bytes=n)).sort_values(key)[key].reset_index(drop=True) for n in (24 << 20, 100))
+    assert whole.equals(parts)
+
+
 def test_no_context_reaches_into_another_document():
     texts_ = ["first text.", "", "second text"]
     alone = [suffix_tree.Tokens.of([t]).grams() for t in texts_]
