@@ -43,7 +43,7 @@ LEAST_COUNT = 10
 DIVERGENCE = 0.01
 TREE_WEIGHT = 0.5
 BLOCK_BYTES = 32 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
 
@@ -245,10 +245,10 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield from _counts(level, buckets, *counter.drain())
 
 
-def _given(batches: Iterator[pa.RecordBatch], level: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed counts from rows (key, n)."""
+def _given(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed counts of byte strings from rows (key, n)."""
     for batch in batches:
-        yield from _counts(level, buckets, batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy())
+        yield from _counts(0, buckets, batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy())
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,16 +328,20 @@ class Contexts:
     def of(packed: list[bytes]) -> Contexts:
         """From packed contexts, their positions and kinds, how many of their next bytes follow, and these times 2**48 plus their counts."""
         none = [np.empty(0, dtype=np.int64)] * 5
-        keys, positions, kinds, size, nexts = (np.concatenate(x) for x in zip(none, *map(_unpack, packed)))
+        parts = [list(x) for x in zip(none, *map(_unpack, packed))]
+        keys, positions, kinds, size, nexts = (np.concatenate(parts.pop(0)) for _ in range(5))
         order = np.argsort(keys)
         # a context may be given more than once, with the same counts
         first = np.concatenate([[True], np.diff(keys[order]) != 0])[:len(keys)]
         place = np.empty(len(keys), dtype=np.int64)
         place[order] = np.cumsum(first) - 1
         order = order[first]
-        wanted = np.repeat(place, size) * 256 + (nexts >> np.int64(48))
+        wanted = np.repeat(place, size)
+        wanted *= 256
+        wanted += nexts >> np.int64(48)
+        nexts &= np.int64((1 << 48) - 1)
         inner = np.argsort(wanted)
-        return Contexts(keys[order], positions[order], kinds[order], wanted[inner], nexts[inner] & np.int64((1 << 48) - 1))
+        return Contexts(keys[order], positions[order], kinds[order], wanted[inner], nexts[inner])
 
     def met(self, grams: np.ndarray, longest: int, shortest: int) -> bytes:
         """Of the contexts longer than ``shortest``, those that byte strings of ``longest`` + 1 bytes meet, with the next bytes met, packed."""
@@ -545,7 +549,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def retained(grams: DataFrame, least_share: float = 0.0, divergence: float = DIVERGENCE, least_count: int = LEAST_COUNT) -> DataFrame:
     """(length, context, byte, n) of the contexts that pass both tests, from counts (key, n) of byte strings."""
-    counts = grams.select("key", "n").mapInArrow(partial(_given, level=0, buckets=LEAST_BUCKETS), _COUNTS)
+    counts = grams.select("key", "n").mapInArrow(partial(_given, buckets=LEAST_BUCKETS), _COUNTS)
     kept = _kept(counts, _least(counts, least_share, least_count), divergence, LEAST_BUCKETS)
     return kept.select("data").mapInArrow(_listed, "length int, context long, byte int, n long")
 
@@ -600,13 +604,18 @@ def _bucket_number(docs: DataFrame) -> int:
 
 def train(docs: DataFrame, least_share: float = 0.0, divergence: float = DIVERGENCE,
           least_count: int = LEAST_COUNT) -> tuple[DataFrame, SuffixTree, int, int]:
-    """Token counts (key, n), the tree, and the numbers of tokens and of distinct tokens, from the texts given."""
+    """Token counts, packed (``token_counts`` lists them), the tree, and the numbers of tokens and of distinct tokens, from the texts given."""
     buckets = _bucket_number(docs)
     counts = docs.select("text").mapInArrow(partial(_count, buckets=buckets), _COUNTS)
     kept = _kept(counts.select("level", "bucket", "data"), _least(counts, least_share, least_count), divergence, buckets)
     words, contexts = kept.where(F.col("level") == _WORDS), kept.where(F.col("level") != _WORDS)
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return words.select("data").mapInArrow(_plain, "key long, n long"), SuffixTree(contexts, buckets), total, distinct
+    return words.select("level", "bucket", "data"), SuffixTree(contexts, buckets), total, distinct
+
+
+def token_counts(words: DataFrame) -> DataFrame:
+    """(key, n) of packed token counts."""
+    return words.select("data").mapInArrow(_plain, "key long, n long")
 
 
 def score(docs: DataFrame, words: DataFrame, tree: SuffixTree, total: int, distinct: int,
@@ -614,8 +623,7 @@ def score(docs: DataFrame, words: DataFrame, tree: SuffixTree, total: int, disti
     """doc_id, n_tokens, n_known, base_score, score of every row of (doc_id, text)."""
     blocks = stored(docs.select("doc_id", "text").mapInArrow(partial(_blocks, block_bytes=block_bytes), _BLOCKS), "blocks", compression="none")
     asked = blocks.select("block", "data").mapInArrow(partial(_ask, buckets=tree.buckets), _BLOCKS)
-    known = (words.select("key", "n").mapInArrow(partial(_given, level=_WORDS, buckets=tree.buckets), _COUNTS)
-             .unionByName(tree.table.where(F.col("level") != _ROOT), allowMissingColumns=True).select("level", "bucket", "data"))
+    known = words.unionByName(tree.table.where(F.col("level") != _ROOT).select("level", "bucket", "data"))
     rows = _answers(known, asked).unionByName(blocks)
     pieces = 3 * max(1, blocks.agg(F.countDistinct("block")).first()[0])
     return (rows.repartition(pieces, "block").sortWithinPartitions("block", "kind")
