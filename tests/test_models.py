@@ -1,9 +1,14 @@
 """Training, scoring, saving."""
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gameline import session
 from gameline.catalog.models import feature_rows, inputs
 from gameline.operators import dataset, lines, rolling, schedule
 from gameline.plans import daily, training, views
@@ -124,3 +129,13 @@ def test_classifier_queries_see_matchup_history(spark, data, monkeypatch):
     for query in (models.train_classifiers, models.class_picks):
         query(spark, data).collect()
     assert len(given) == 9 and all(games > 0 and edge > 0 for games, edge in given)
+
+
+def test_fits_side_by_side_ship_the_package_once(monkeypatch):
+    monkeypatch.setattr(session, "_shipped", set())
+    added = []
+    context = SimpleNamespace(applicationId="an application", addPyFile=lambda path: time.sleep(0.2) or added.append(path))
+    given = SimpleNamespace(sparkContext=context)
+    with ThreadPoolExecutor(8) as workers:
+        assert all(s is given for s in workers.map(session.ship, [given] * 8))
+    assert len(added) == 1
