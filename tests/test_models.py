@@ -1,5 +1,6 @@
 """Training, scoring, saving."""
 
+import inspect
 import time
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
@@ -131,6 +132,23 @@ def test_classifier_queries_see_matchup_history(spark, data, monkeypatch):
     assert len(given) == 9 and all(games > 0 and edge > 0 for games, edge in given)
 
 
+def test_classifier_queries_fit_the_published_ensembles(spark, data, monkeypatch):
+    from gameline.catalog import models
+
+    given, taken = [], inspect.signature(training.train_classifier)
+
+    def noted(*args, **settings):
+        call = taken.bind(*args, **settings)
+        call.apply_defaults()
+        made = training.classifiers(1000, call.arguments["trees"])
+        given.append([made["gbm_deep"].getMaxIter(), made["gbm_wide"].getMaxIter(), made["rf_deep"].getNumTrees(), made["rf_wide"].getNumTrees()])
+
+    monkeypatch.setattr(training, "train_classifier", noted)
+    for query in (models.train_classifiers, models.class_picks):
+        query(spark, data).collect()
+    assert given == [[200, 300, 200, 300]] * 9
+
+
 def test_fits_side_by_side_ship_the_package_once(monkeypatch):
     monkeypatch.setattr(session, "_shipped", set())
     added = []
