@@ -2,9 +2,12 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gameline.llm import treap_search
@@ -105,3 +108,36 @@ def test_empty_tables(spark, make, awkward):
 def test_long_texts_are_read_in_parts():
     text = "Ab cd-" * 50 + "x" * 90 + " É漢 b" * 9
     assert {t.decode(): n for t, n in treap_search.terms_of(text, 11).items()} == dict(Counter(terms(text)))
+
+
+def test_points_wait_as_small_arrays():
+    words = " ".join(f"word{i}" for i in range(2000))
+    batch = pa.record_batch([pa.array(range(100), pa.int64()), pa.array([f"{words} own{i}" for i in range(100)])], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        blocks = list(treap_search._grids(iter([batch]), 100, 1 << 30))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [len(b.column("rows")[0].as_py()) for b in blocks] == [4 * 100 * 2001]
+    assert most < 36 * 100 * 2001  # bytes; a counter of each document takes over a hundred a point
+
+
+def test_a_task_gets_a_few_blocks_at_a_time(spark, make, monkeypatch):
+    monkeypatch.setattr(treap_search, "ROW_GROUP_BYTES", 1 << 19)
+    monkeypatch.setattr(treap_search, "BATCH_BYTES", 1 << 19)
+    rows = make([(i, " ".join(f"w{i}x{j}" for j in range(20_000))) for i in range(12)]).coalesce(1)
+    before = spark.conf.get(treap_search.BATCH_SETTING)
+    grid = treap_search.grids(rows, block_docs=1)
+    index = treap_search.build(grid, 12, 240_000)
+    assert spark.conf.get(treap_search.BATCH_SETTING) == before
+    for made in (grid, index):  # some 0.4 MB a block
+        groups = sum(pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in made.inputFiles())
+        assert groups >= 4
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    counted = [r.n for r in treap_search.written(index.coalesce(1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(counted) == 12 and len(counted) >= 4
